@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding
+from . import mixing, quality, sharding, tokens
+
+#: Vocabulary of op1; a file of the public_tokenizers package.
+VOCABULARY = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.encode_and_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -24,7 +33,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op5_quality_rules, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_ids, op2_mixing, op5_quality_rules, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
