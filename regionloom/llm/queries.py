@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding, tokens
+from . import embeddings, mixing, quality, sharding, simhash, tokens
 
 #: Vocabulary of op1; a file of the public_tokenizers package.
 VOCABULARY = "word_bpe_49k.json"
@@ -24,16 +24,24 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_ids, op2_mixing, op5_quality_rules, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_ids, op2_mixing, op3_simhash_near_dedup, op5_quality_rules, op9_embedding_near_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
