@@ -89,6 +89,11 @@ def _manhattan(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.bitwise_count(unary(p) ^ unary(q))
 
 
+def _hamming(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    # as unsigned: the count of a negative number is that of its absolute value
+    return np.bitwise_count((x ^ y).view(np.uint64))
+
+
 def _stars(fp: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, int]]:
     """The linked groups among the distinct fingerprints of a cell: (members, least)."""
     left = fp
@@ -97,7 +102,7 @@ def _stars(fp: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, int]]:
         while reach and len(left):
             one = reach.pop()
             near = _manhattan(_counts(left), _counts(np.array([one]))) <= most
-            near[near] = np.bitwise_count(left[near] ^ one) <= most
+            near[near] = _hamming(left[near], one) <= most
             if near.any():
                 group.append(left[near])
                 reach.extend(left[near])
@@ -124,7 +129,7 @@ def links(distinct: DataFrame, most: int = MOST) -> DataFrame:
             two = ends - begins == 2
             x, y = fp[begins[two]], fp[begins[two] + 1]
             near = _manhattan(_counts(x), _counts(y)) <= most
-            near[near] = np.bitwise_count(x[near] ^ y[near]) <= most
+            near[near] = _hamming(x[near], y[near]) <= most
             a.append(np.maximum(x[near], y[near]))
             b.append(np.minimum(x[near], y[near]))
             for i, j in zip(begins[~two].tolist(), ends[~two].tolist(), strict=True):
