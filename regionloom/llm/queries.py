@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, mixing, quality, sharding, simhash, tokens, toxicity
+from . import embeddings, mixing, packing, quality, sharding, simhash, tokens, toxicity
 
 #: Vocabulary of op1; a file of the public_tokenizers package.
 VOCABULARY = "word_bpe_49k.json"
@@ -28,6 +28,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_ids, op2_mixing, op3_simhash_near_dedup, op5_quality_rules, op6_toxicity, op9_embedding_near_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_ids, op2_mixing, op3_simhash_near_dedup, op4_best_fit_packing, op5_quality_rules, op6_toxicity, op9_embedding_near_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,25 +146,34 @@ def links(distinct: DataFrame, most: int = MOST) -> DataFrame:
     return dealt.mapInArrow(joined, "a bigint, b bigint").distinct()
 
 
-def _components(prints: DataFrame, most: int) -> DataFrame:
-    """fp, component_id of every distinct fingerprint of (doc_id, fp)."""
+def _rooted(prints: DataFrame, most: int) -> DataFrame:
+    """fp, least (doc_id), root of every distinct fingerprint of (doc_id, fp)."""
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     roots = components(links(distinct, most))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "roots")
-    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    return written(rooted, "roots")
 
 
 def near_duplicates(docs: DataFrame, most: int = MOST) -> DataFrame:
     """doc_id, fingerprint, component_id of every row."""
     prints = written(fingerprints(docs), "doc-fingerprints")
-    found = _components(prints, most)
+    rooted = _rooted(prints, most)
+    found = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """``docs`` with one row of each group: the one that names it."""
-    prints = written(fingerprints(docs), "doc-fingerprints")
-    least = written(_components(prints, most).select(F.col("component_id").alias("id")).distinct(), "kept-ids")
-    kept = docs.join(least, docs["doc_id"].eqNullSafe(least["id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """``docs`` with one row of each group, the one with the least doc_id; their columns are kept."""
+
+    @F.pandas_udf("bigint")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([fingerprint(t) for t in batch], dtype="int64")
+
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), of(docs["text"]).alias("fp"))
+    rows = written(rows.withColumn("key", F.xxhash64("doc_id", "fp")), "printed")
+    rooted = _rooted(rows.select("doc_id", "fp"), most)
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("v")).select(F.col("v.least").alias("id"), F.col("v.fp").alias("print"))
+    first = first.withColumn("key", F.xxhash64("id", "print"))
+    both = rows.join(first, (rows["key"] == first["key"]) & rows["doc_id"].eqNullSafe(first["id"]) & (rows["fp"] == first["print"]), "left_semi")
+    return both.dropDuplicates(["key", "doc_id", "fp"]).select("row.*")
