@@ -121,10 +121,13 @@ def verified(pairs: DataFrame, classes: DataFrame, cosine: float = COSINE) -> Da
         for batch in batches:
             if not batch.num_rows:
                 continue
-            good = []
-            for x, y in zip(_vectors(batch.column("va")), _vectors(batch.column("vb")), strict=True):
-                x, y = x / np.abs(x).max(), y / np.abs(y).max()
-                good.append(len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= cosine)
+            # both vectors of a candidate have the same length
+            sizes, good = batch.column("va").value_lengths().to_numpy(zero_copy_only=False), np.zeros(batch.num_rows, bool)
+            for dim in np.unique(sizes):
+                rows = np.flatnonzero(sizes == dim)
+                x, y = (batch.column(c).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) for c in ("va", "vb"))
+                x, y = x / np.abs(x).max(axis=1, keepdims=True), y / np.abs(y).max(axis=1, keepdims=True)
+                good[rows] = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1)) >= cosine
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "va", "vb")
