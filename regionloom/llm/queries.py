@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, mixing, packing, quality, sharding, simhash, tokens, toxicity
+from . import embeddings, mixing, packing, quality, sharding, simhash, tokens, toxicity, warc
 
 #: Vocabulary of op1; a file of the public_tokenizers package.
 VOCABULARY = "word_bpe_49k.json"
@@ -40,6 +40,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.query(table(spark, sf_dir, "pages"))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -49,8 +53,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_ids, op2_mixing, op3_simhash_near_dedup, op4_best_fit_packing, op5_quality_rules, op6_toxicity, op9_embedding_near_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_ids, op2_mixing, op3_simhash_near_dedup, op4_best_fit_packing, op5_quality_rules, op6_toxicity, op7_warc_revisits, op9_embedding_near_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality.ORACLE_SQL, "op10_sharding": sharding.ORACLE_SQL}
+    return {"op5_quality_rules": quality.ORACLE_SQL, "op7_warc_revisits": warc.ORACLE_SQL, "op10_sharding": sharding.ORACLE_SQL}
