@@ -37,7 +37,9 @@ BLOCK = 8
 GRID = 4
 #: Cell width in radii.
 WIDTH = 3.0
-_PAIRS = 1024
+#: Rows of a cell that are compared at once, and pairs that are sent on at once.
+_PAIRS = 512
+_SENT = 1 << 18
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -92,8 +94,16 @@ def candidates(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(a, b), a < b: the pairs of classes that some block lets through."""
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[np.ndarray] = []
+        b: list[np.ndarray] = []
+
+        def made() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
+            a.clear()
+            b.clear()
+            return out
+
         for (_, dims, _, _, ids, parts), begins, ends in cells(batches, 4):
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, j in zip(begins.tolist(), ends.tolist(), strict=True):
                 x, own = parts[i:j].astype(np.float64), ids[i:j]
                 share = (2 - 2 * cosine) * x.shape[1] / dims[i] + 1e-6
@@ -101,11 +111,16 @@ def candidates(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
                 for m in range(0, len(x), _PAIRS):
                     for k in range(m, len(x), _PAIRS):
                         d = square[m : m + _PAIRS, None] + square[None, k : k + _PAIRS] - 2 * x[m : m + _PAIRS] @ x[k : k + _PAIRS].T
-                        p, q = np.nonzero(d <= share)
+                        p, q = np.nonzero(np.triu(d <= share, 1) if m == k else d <= share)
                         p, q = own[m + p], own[k + q]
-                        a.append(np.minimum(p, q)[p != q])
-                        b.append(np.maximum(p, q)[p != q])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
+                        a.append(np.minimum(p, q))
+                        b.append(np.maximum(p, q))
+                        if sum(map(len, a)) > _SENT:
+                            yield made()
+            if sum(map(len, a)) > _SENT // 8 or len(a) > 4096:
+                yield made()
+        if a:
+            yield made()
 
     dealt = _dealt(classes, cosine)
     n = partitions_for(classes, 1 << 20)
