@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, mixing, packing, quality, sharding, simhash, tokens, toxicity, warc
+from . import embeddings, licenses, mixing, packing, quality, sharding, simhash, tokens, toxicity, warc
 
 #: Vocabulary of op1; a file of the public_tokenizers package.
 VOCABULARY = "word_bpe_49k.json"
@@ -44,6 +44,10 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.query(table(spark, sf_dir, "pages"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -53,7 +57,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_ids, op2_mixing, op3_simhash_near_dedup, op4_best_fit_packing, op5_quality_rules, op6_toxicity, op7_warc_revisits, op9_embedding_near_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_ids, op2_mixing, op3_simhash_near_dedup, op4_best_fit_packing, op5_quality_rules, op6_toxicity, op7_warc_revisits, op8_license_scan, op9_embedding_near_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
