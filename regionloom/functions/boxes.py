@@ -46,15 +46,14 @@ def area(b: Column) -> Column:
 
 
 def intersection(a: Column, b: Column) -> Column:
-    width = F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"])
-    height = F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"])
-    return F.when((width > 0) & (height > 0), width * height).otherwise(0.0)
+    side = lambda lo, hi: F.greatest(F.lit(0.0), F.least(a[hi], b[hi]) - F.greatest(a[lo], b[lo]))
+    return side("x1", "x2") * side("y1", "y2")
 
 
 def iou(a: Column, b: Column) -> Column:
     shared = intersection(a, b)
-    union = area(a) + area(b) - shared
-    return F.when((shared > 0) & (union > 0), shared / union).otherwise(0.0)
+    # boxes that share an area have a union
+    return F.when(shared > 0, shared / (area(a) + area(b) - shared)).when(shared.isNotNull(), 0.0)
 
 
 def area_ratio(pseudo: Column, truth: Column) -> Column:
@@ -64,23 +63,22 @@ def area_ratio(pseudo: Column, truth: Column) -> Column:
 def padded_crop(b: Column, width: Column, height: Column, padding: float = 0.15, least: int = 32) -> Column:
     """STRUCT<left, top, right, bottom: INT> around a box, moved into the image; a null box gives the whole image."""
 
-    def span(lo: Column, hi: Column, limit: Column) -> tuple[Column, Column]:
-        size = hi - lo
-        want = F.greatest(size + 2 * (size * padding), F.lit(float(least)))
-        middle = (lo + hi) / 2
-        start, end = middle - want / 2, middle + want / 2
-        end = F.when(start < 0, end - start).otherwise(end)
-        start = F.greatest(start, F.lit(0.0))
-        start = F.when(end > limit, start - (end - limit)).otherwise(start)
-        end, start = F.least(end, limit.cast("double")), F.greatest(start, F.lit(0.0))
-        first = F.greatest(F.lit(0), F.least(limit - 1, start.cast("int")))
-        last = F.greatest(first + 1, F.least(limit, F.bround(end).cast("int")))
-        return first, last
+    def span(lo: Column, hi: Column, limit: Column) -> Column:
+        """STRUCT<a, b> of whole pixels; each step is bound once, as the next uses it more than once."""
+        pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+        want = F.greatest((hi - lo) + 2 * ((hi - lo) * padding), F.lit(float(least)))
+        half, middle = want / 2, (lo + hi) / 2
+        low = lambda s: pair(F.greatest(s["a"], F.lit(0.0)), F.when(s["a"] < 0, s["b"] - s["a"]).otherwise(s["b"]))
+        high = lambda s: pair(F.greatest(F.when(s["b"] > limit, s["a"] - (s["b"] - limit)).otherwise(s["a"]), F.lit(0.0)), F.least(s["b"], limit.cast("double")))
+        first = lambda s: F.greatest(F.lit(0), F.least(limit - 1, s["a"].cast("int")))
+        whole = lambda s: let(first(s), lambda f: pair(f, F.greatest(f + 1, F.least(limit, F.bround(s["b"]).cast("int")))))
+        return let(half, lambda d: let(let(let(pair(middle - d, middle + d), low), high), whole))
 
     w, h = width.cast("int"), height.cast("int")
-    (left, right), (top, bottom) = span(b["x1"], b["x2"], w), span(b["y1"], b["y2"], h)
+    named = lambda x, y: F.struct(x["a"].alias("left"), y["a"].alias("top"), x["b"].alias("right"), y["b"].alias("bottom"))
+    found = let(F.struct(span(b["x1"], b["x2"], w).alias("x"), span(b["y1"], b["y2"], h).alias("y")), lambda s: named(s["x"], s["y"]))
     whole = F.struct(F.lit(0).alias("left"), F.lit(0).alias("top"), w.alias("right"), h.alias("bottom"))
-    return F.when(b.isNull(), whole).otherwise(F.struct(left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom")))
+    return F.when(b.isNull(), whole).otherwise(found)
 
 
 @F.pandas_udf(T.StringType())

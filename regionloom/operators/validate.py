@@ -27,18 +27,21 @@ def _size(field: str) -> tuple[Column, Column]:
 
 def report(lines: DataFrame, require_image_size: bool = True) -> DataFrame:
     """(row_idx, image_path, width, height, image_width, image_height, error) of ``lines`` (row_idx, value) that are not blank."""
-    rows = lines.where(P.strip(F.col("value")) != "").withColumn("json", F.try_parse_json("value"))
+    # a generated row is computed once, where a projection would be repeated in each use
+    once = lambda df, **columns: df.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_x")).select(*df.columns, "_x.*")
+    rows = once(lines.where(P.strip(F.col("value")) != "").select("row_idx", "value"), json=F.try_parse_json("value"))
     path = F.when(F.schema_of_variant("json").startswith("OBJECT"), F.when(F.schema_of_variant(F.try_variant_get("json", "$.image_path", "variant")) == "STRING", P.strip(F.try_variant_get("json", "$.image_path", "string"))))
     grid = F.try_variant_get("json", "$.heatmap", "array<variant>")
     cells = F.transform(grid, lambda r: F.try_variant_get(r, "$", "array<variant>"))
-    rows = rows.withColumn("path", path).withColumn("cells", cells)
+    rows = once(rows, path=path, cells=cells)
     width, height = F.size(F.get("cells", F.lit(0))), F.size("cells")
     empty = F.coalesce(height, F.lit(0)) < 1
     no_rows = F.get("cells", F.lit(0)).isNull() | (width < 1)
     ragged = F.exists("cells", lambda r: r.isNull() | (F.size(r) != width))
     wrong = F.exists("cells", lambda r: F.exists(r, lambda v: ~F.coalesce(_number(v, F.schema_of_variant(v)), F.lit(False))))
     sizes = {f: _size(f) for f in ("heatmap_width", "heatmap_height", "image_width", "image_height")}
-    value, bad = {f: s[0] for f, s in sizes.items()}, {f: s[1] for f, s in sizes.items()}
+    rows = once(rows, **{f: s[0] for f, s in sizes.items()}, **{f"bad_{f}": s[1] for f, s in sizes.items()})
+    value, bad = {f: F.col(f) for f in sizes}, {f: F.col(f"bad_{f}") for f in sizes}
     error = (
         F.when(F.col("json").isNull(), "invalid_json")
         .when(~F.schema_of_variant("json").startswith("OBJECT"), "not_an_object")
