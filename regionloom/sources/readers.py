@@ -98,7 +98,7 @@ def load_manifest(spark: SparkSession, path: str) -> DataFrame:
         return normalize_records(read_csv(spark, path))
     if kind not in (".jsonl", ".ndjson"):
         raise ValueError(f"a manifest is .csv, .jsonl or .ndjson: {path}")
-    rows = _json_rows(spark, path).select("row_idx", F.from_json("value", "map<string,string>").alias("m"))
+    rows = _json_rows(spark, path).select("row_idx", F.from_json(F.when(F.col("json").isNotNull(), F.col("value")), "map<string,string>").alias("m"))
     get = lambda c: F.try_element_at("m", F.lit(c))
     missing = F.raise_error(F.concat(F.lit("a manifest row needs image_path and label, line "), (F.col("row_idx") + 1).cast("string")))
     named = ["image_path", "label", "split", "mask_path", "object_name", "defect_name"]
