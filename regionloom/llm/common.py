@@ -48,8 +48,8 @@ def partitions_for(df: DataFrame, bytes_each: int) -> int:
     """How many partitions give about ``bytes_each`` of the plan's estimated input, at least the session's number."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a plan without statistics says "as large as can be"; then the session's number holds
-    return least if size >= 1 << 62 else max(least, math.ceil(size / bytes_each))
+    # a plan without statistics says "as large as can be", scaled by its columns; then the session's number holds
+    return least if size >= 1 << 55 else max(least, math.ceil(size / bytes_each))
 
 
 def word_count(text: Column) -> Column:

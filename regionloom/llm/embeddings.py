@@ -83,7 +83,8 @@ def _dealt(classes: DataFrame, cosine: float) -> DataFrame:
                         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                         at, cell = np.repeat(at, n), np.repeat(cell, n)
                         cell = cell * 4096 + (low[at, g] + step + 2048)
-                    coordinates = [row.tobytes() for row in part.astype("<f4")]
+                    # the last block may be narrower: all rows are made equally long
+                    coordinates = [row.tobytes() for row in np.pad(part, ((0, 0), (0, BLOCK - part.shape[1]))).astype("<f4")]
                     full = lambda v, t: pa.array(np.full(len(at), v), t)
                     yield pa.RecordBatch.from_arrays([pa.array(labels[at], pa.int64()), full(dim, pa.int32()), full(block, pa.int32()), pa.array(cell, pa.int64()), pa.array(ids[at], pa.int64()), pa.array([coordinates[i] for i in at.tolist()], pa.binary())], ["label", "dim", "block", "cell", "class", "part"])
 
@@ -103,10 +104,10 @@ def candidates(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
             b.clear()
             return out
 
-        for (_, dims, _, _, ids, parts), begins, ends in cells(batches, 4):
+        for (_, dims, blocks, _, ids, parts), begins, ends in cells(batches, 4):
             for i, j in zip(begins.tolist(), ends.tolist(), strict=True):
                 x, own = parts[i:j].astype(np.float64), ids[i:j]
-                share = (2 - 2 * cosine) * x.shape[1] / dims[i] + 1e-6
+                share = (2 - 2 * cosine) * min(BLOCK, dims[i] - BLOCK * blocks[i]) / dims[i] + 1e-6
                 square = (x * x).sum(axis=1)
                 for m in range(0, len(x), _PAIRS):
                     for k in range(m, len(x), _PAIRS):
