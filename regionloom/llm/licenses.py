@@ -167,8 +167,10 @@ def fit(rows: list[set[str]], labels: np.ndarray, features: list[str], steps: in
 
 def train(docs: DataFrame, seed: int = 5) -> tuple[Model, dict[str, int]]:
     """The model, and how many sampled paragraphs have each word."""
-    sample = docs.where(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(SAMPLE_DOCS)
-    lines = sample.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length(F.btrim("line")) > 0).orderBy(F.xxhash64("line", F.lit(seed)), "line").limit(SAMPLE_PARAGRAPHS)
+    # ids are chosen before any text is moved; there are SAMPLE_DOCS of them at most
+    ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(SAMPLE_DOCS)
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    lines = sample.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length(F.btrim("line")) > 0).distinct().orderBy(F.xxhash64("line", F.lit(seed)), "line").limit(SAMPLE_PARAGRAPHS)
     shingles = {g for texts in NOTICES.values() for t in texts for g in _grams(_tokens(t), SHINGLE)}
     unknown = [w for w in (_tokens(r.line) for r in lines.collect()) if not shingles.intersection(_grams(w, SHINGLE))]
     rng = np.random.default_rng(seed)
