@@ -182,7 +182,8 @@ class Mixture:
         docs = self.docs
         rows = _in_blocks(_keyed(docs, F.struct(*[docs[c] for c in docs.columns]).alias("row")), self.plan, self.seed)
         out = self._draws(rows).select("row", "key", F.explode("draws").alias("d"))
-        out = out.repartition("d.shard").sortWithinPartitions("d.shard", F.xxhash64("key", "d.pass", F.lit(self.seed)))
+        # a shard is a partition: hashing would put several into one
+        out = out.repartitionById(self.n_shards, F.col("d.shard")).sortWithinPartitions("d.shard", F.xxhash64("key", "d.pass", F.lit(self.seed)))
         return out.select("row.*")
 
 
