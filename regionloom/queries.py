@@ -248,7 +248,7 @@ def confusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH b AS (" + _PRED + """), c AS (SELECT y_true, y_pred, count(*) AS count, min(pos) AS first_pos FROM b GROUP BY ALL),
 s AS (SELECT *, count / sum(count) OVER (PARTITION BY y_true) AS f FROM c)
-SELECT (row_number() OVER (ORDER BY count DESC, f DESC, first_pos))::INT AS rank, y_true, y_pred, count, round(f, 6)::DOUBLE AS fraction_of_true
+SELECT (row_number() OVER (ORDER BY count DESC, f DESC, first_pos, y_true, y_pred))::INT AS rank, y_true, y_pred, count, round(f, 6)::DOUBLE AS fraction_of_true
 FROM s WHERE y_true <> y_pred QUALIFY rank <= 20""")
 def top_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.top_confusions(metrics.confusion(_predictions(spark, sf_dir), order="pos"), k=20), "fraction_of_true")
