@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions import vectors as V
-from .operators import episodes, iou, merge, metrics, validate
+from .operators import episodes, extract, iou, merge, metrics, validate
 from .plans import build, evaluation, reports
 from .sources import readers, sinks
 
@@ -166,6 +166,46 @@ def confusion(spark, a) -> None:
     print(text)
 
 
+def _plugin(name: str):
+    """'module:function' -> the function; its module goes to the executors by value, as this package does."""
+    import importlib
+
+    from pyspark import cloudpickle
+
+    module, _, function = name.partition(":")
+    found = importlib.import_module(module)
+    cloudpickle.register_pickle_by_value(found)
+    return getattr(found, function)
+
+
+def _images(spark, a):
+    records = evaluation.load_split(spark, a.manifest, a.split) if a.split != "all" else readers.require(readers.load_manifest(spark, a.manifest), "no rows")
+    records = records.where(F.col("row_idx") < F.lit(a.limit)) if a.limit and a.split == "all" else records.orderBy("row_idx").limit(a.limit) if a.limit else records
+    return extract.open_images(spark, records, a.image_root)
+
+
+def extract_features(spark, a) -> None:
+    box = F.element_at("metadata", F.lit("bbox"))
+    records = _images(spark, a).withColumns({"region": F.lit(a.region), "bbox": box, "padding": F.lit(a.bbox_padding), "min_crop_size": F.lit(a.min_crop_size), "mask_background": F.lit(a.mask_background)})
+    made = extract.extract_features(records, _plugin(a.plugin), a.feature_dim)
+    sinks.write_jsonl(made.select("image_path", "label", "split", "object_name", "defect_name", "region", "feature"), a.output, ["image_path"], a.overwrite)
+
+
+def extract_heatmaps(spark, a) -> None:
+    """The plug-in gives the patch tokens of an image; scores are made here."""
+    records = _images(spark, a)
+    tokens = extract.extract_tokens(records, _plugin(a.plugin)).persist()
+    keys = ["image_path", "label", "split", "object_name", "defect_name"]
+    if a.mode == "patch-contrast":
+        maps = extract.heatmaps_from_tokens(tokens, keys)
+    else:
+        chosen = episodes.select_memory(evaluation.load_split(spark, a.manifest, a.memory_split), a.memory_split, episodes.parse_label_set(a.memory_labels), a.max_memory_images, a.seed)
+        memory = extract.extract_tokens(extract.open_images(spark, chosen, a.image_root), _plugin(a.plugin))
+        maps = extract.heatmaps_from_memory(tokens, memory, keys, a.max_memory_patches, a.seed)
+    maps = maps.withColumns({"heatmap_width": F.size(F.col("heatmap")[0]), "heatmap_height": F.size("heatmap"), "localizer": F.lit(a.mode), "score_normalization": F.lit("min-max")})
+    sinks.write_jsonl(maps, a.output, ["image_path"], a.overwrite)
+
+
 def summarize_models(spark, a) -> None:
     sinks.write_text(reports.model_summary_markdown(spark, a.summary_jsonl), a.output_md)
 
@@ -205,6 +245,9 @@ def parser() -> argparse.ArgumentParser:
     branches = [must("--whole-feature-file"), must("--region-feature-file"), whole("--whole-dim", 384), whole("--region-dim", 384), whole("--episodes", 200)]
     command("region-context", region_context, *grid, *branches, text("--grid", evaluation.GRID), many("--whole-weights", _floats, [0.5]))
     command("confusion", confusion, *grid, *branches, ("--n-way", {"type": int, "required": True}), ("--k-shot", {"type": int, "required": True}), text("--baseline-feature-file"), whole("--baseline-dim", 768), number("--whole-weight", 0.75), whole("--top-k", 20), text("--output-per-class-csv"), text("--output-confusion-csv"))
+    images = [must("--manifest"), must("--image-root"), must("--output"), must("--plugin"), text("--split", "train"), whole("--limit", 0), on("--overwrite")]
+    command("extract-features", extract_features, *images, one("--region", ["whole", "bbox", "mask"], "whole"), number("--bbox-padding", 0.15), whole("--min-crop-size", 32), one("--mask-background", ["black", "keep"], "black"), whole("--feature-dim"))
+    command("extract-heatmaps", extract_heatmaps, *images, one("--mode", ["patch-contrast", "nearest-memory"], "patch-contrast"), text("--memory-split", "train"), text("--memory-labels", "good,normal,ok"), whole("--max-memory-images", 200), whole("--max-memory-patches", 20000), whole("--seed", 42))
     command("summarize-models", summarize_models, must("--summary-jsonl"), must("--output-md"))
     return top
 

@@ -26,7 +26,8 @@ def normalize_path(path: Column) -> Column:
 
 def key_variants(path: Column) -> Column:
     """The keys under which a path may be stored, first to last."""
-    return F.array_distinct(F.array(path, slashes(path), F.regexp_replace(slashes(path), r"(^|/)\./|/{2,}", "$1/")))
+    posix = F.regexp_replace(F.regexp_replace(F.regexp_replace(slashes(path), r"/(\./)+|/{2,}", "/"), r"^(\./)+", ""), "(?<=[^/])/$", "")
+    return F.array_distinct(F.array(path, slashes(path), posix))
 
 
 def normalize_label(label: Column) -> Column:

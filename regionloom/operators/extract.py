@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..functions import grids as G
-from ..functions import paths as P
 from ..functions import vectors as V
+from . import classify
 
 #: A batch of records to vectors.
 Extractor = Callable[[pd.DataFrame], list[list[float]]]
@@ -77,5 +77,15 @@ def heatmaps_from_tokens(tokens: DataFrame, keys: list[str], column: str = "toke
     return rows.select(*keys, V.scores_to_grid(V.patch_contrast(F.col("_t"))).alias("heatmap"))
 
 
-def keys_of(path: Column) -> Column:
-    return P.key_variants(path)
+def extract_tokens(records: DataFrame, extractor) -> DataFrame:
+    """``records`` with ``tokens``, the patch vectors of each image."""
+    return _mapped(records.drop("metadata"), extractor, "tokens array<array<double>>", "tokens", lambda t: bool(len(t)))
+
+
+def heatmaps_from_memory(tokens: DataFrame, memory: DataFrame, keys: list[str], most: int = 20_000, seed: int = 42) -> DataFrame:
+    """(keys, heatmap): 1 - the highest cosine of each patch to any of at most ``most`` memory patches."""
+    each = lambda df, *k: df.select(*k, F.posexplode(F.transform("tokens", V.l2_normalize)).alias("patch", "token"))
+    bank = each(memory, "image_path").orderBy(F.xxhash64("image_path", "patch", F.lit(seed)), "image_path", "patch").limit(most)
+    scores = classify.nearest_memory(each(tokens, *keys), bank, [*keys, "patch"])
+    flat = F.transform(F.array_sort(F.collect_list(F.struct("patch", "score"))), lambda s: s["score"])
+    return scores.groupBy(*keys).agg(V.scores_to_grid(flat).alias("heatmap"))

@@ -80,7 +80,7 @@ def require_same_keys(a: DataFrame, b: DataFrame, key: str = "image_path") -> No
 
 
 def lookup(probe: DataFrame, table: DataFrame, key: str, value_columns: list[str], normalize_table: bool = False, order: str | None = None) -> DataFrame:
-    """``probe`` left joined to ``table`` by raw path, then by the path with forward slashes.
+    """``probe`` left joined to ``table`` by raw path, then with forward slashes, then in plain POSIX form.
 
     With ``normalize_table`` the table is also found under its own normalised
     path; of several rows under a key the last in ``order`` counts.
@@ -90,10 +90,13 @@ def lookup(probe: DataFrame, table: DataFrame, key: str, value_columns: list[str
     if normalize_table:
         built = built.where(P.strip(F.col("_k")) != "").withColumn("_k", F.explode(F.array_distinct(F.array(F.col("_k"), P.slashes(F.col("_k"))))))
     built = built.groupBy("_k").agg(F.max_by("_v", "_o").alias("_v"))
-    raw = probe.join(built.withColumnRenamed("_v", "_raw"), F.col(key) == F.col("_k"), "left").drop("_k")
-    other = F.when(F.col("_raw").isNull(), P.slashes(F.col(key)))
-    both = raw.join(built.withColumnRenamed("_v", "_slashed"), other == F.col("_k"), "left").drop("_k")
-    found = F.coalesce("_raw", "_slashed")
+    both = probe.withColumn("_keys", P.key_variants(F.col(key)))
+    # a later form is only asked for where the forms before it found nothing; equal forms are asked for once
+    found = F.lit(None)
+    for i in range(3):
+        form = F.when(found.isNull(), F.get("_keys", F.lit(i)))
+        both = both.join(built.withColumnRenamed("_v", f"_v{i}"), form == F.col("_k"), "left").drop("_k")
+        found = F.coalesce(*[F.col(f"_v{j}") for j in range(i + 1)])
     return both.withColumn("_found", found).select(*probe.columns, *[F.col(f"_found.{c}").alias(c if c not in probe.columns else f"found_{c}") for c in value_columns], F.col("_found").isNotNull().alias("found"))
 
 

@@ -257,3 +257,37 @@ def test_stream(spark, tmp_path):
     stream.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r.image_path, tuple(r.box)) for r in got] == [("a", (10, 10, 30, 30))]
+
+
+def test_plug_ins(spark, tmp_path):
+    from regionloom.operators import extract
+
+    def image_size_plugin(pdf):
+        return [[float(len(c)), 1.0] for c in pdf["content"]]
+
+    for i in range(3):
+        (tmp_path / f"{i}.png").write_bytes(b"x" * (i + 1))
+    records = spark.createDataFrame([(f"{i}.png", "l") for i in range(3)], "image_path string, label string")
+    found = extract.open_images(spark, records, str(tmp_path))
+    got = {r.image_path: r.feature for r in extract.extract_features(found, image_size_plugin, 2).collect()}
+    assert got == {f"{i}.png": [i + 1.0, 1.0] for i in range(3)}
+    with pytest.raises(Exception, match="no image"):
+        extract.open_images(spark, spark.createDataFrame([("z.png",)], "image_path string"), str(tmp_path)).collect()
+    tokens = spark.createDataFrame([("a", [[1.0, 0.0], [0.0, 1.0], [1.0, 0.0], [1.0, 0.1]])], "image_path string, tokens array<array<double>>")
+    grid = extract.heatmaps_from_tokens(tokens, ["image_path"]).first().heatmap
+    assert grid[0][1] == 1 and min(min(r) for r in grid) == 0
+    near = extract.heatmaps_from_memory(tokens, tokens.select("image_path", F.slice("tokens", 1, 1).alias("tokens")), ["image_path"]).first().heatmap
+    assert near[0] == [0, 1] and near[1][0] == 0
+    pixels, mask = np.arange(36).reshape(6, 6), np.zeros((6, 6), bool)
+    mask[1:3, 2:4] = True
+    column = F.array(*[F.array(*[F.lit(bool(v)) for v in r]) for r in mask])
+    crop = tuple(spark.range(1).select(extract.mask_crop(column, 0.5, 1).alias("c")).first().c)
+    assert crop == (1, 0, 5, 4)
+    part = extract.apply_crop(pixels, mask, crop)
+    assert part.shape == (4, 4) and part[0, 0] == 0 and part[1, 1] == pixels[1, 2] and extract.apply_crop(pixels, mask, crop, "keep")[0, 0] == pixels[0, 1]
+
+
+def test_posix_form_of_paths(spark):
+    probe = spark.createDataFrame([(0, ".\\a\\\\b"), (1, "a/b/")], "row_idx int, image_path string")
+    stored = spark.createDataFrame([("a/b", 1)], "image_path string, value int")
+    assert [r.value for r in merge.lookup(probe, stored, "image_path", ["value"]).orderBy("row_idx").collect()] == [1, 1]
