@@ -22,10 +22,10 @@ Files are written by Spark's own committer to whatever store the path names: a
 task that is run again replaces its file.  A range partition by doc_id makes
 file order document order; no task holds more than its own chunk.
 
-White space never joins a token of the vocabularies in use, so each distinct
-white-space-delimited piece is encoded once per worker and looked up after.
-Whether that holds is a property of a tokenizer; ``pieces=False`` encodes whole
-texts.
+White space never joins a token of the vocabulary in use, which also lower-cases
+and keeps runs of letters and of marks apart.  So each distinct white-space-
+delimited piece is encoded once per worker and looked up after.  Whether that
+holds is a property of a tokenizer; ``pieces=False`` encodes whole texts.
 
 Defined cases: null and blank texts give the end id alone; null doc_ids come
 first; rows with equal doc_id follow one another, in the order of their texts;
@@ -34,26 +34,33 @@ an empty table gives no file rows; other columns are not read.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions_for, scratch, worker_cache, written
+from .common import partitions_for, scratch, settings, worker_cache, written
 
 MAGIC = 0x6234733862
 BLOCK = 4096
-CHUNK_IDS = 1 << 20
+CHUNK_IDS = 1 << 19
 END_ID = 1
 #: Simple-8b: how many ids a word holds and of how many bits, by selector (fixed values).
 COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 _ESCAPE = (1 << 60) - 1
-_PIECES_KEPT = 1_000_000
+_PIECES_KEPT = 700_000
 PARTITION_BYTES = 32 << 20
+#: Texts that are encoded together.
+_TEXTS = 4096
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,16 +72,30 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, n
     high = ids >= _ESCAPE
     escapes = ids[high]
     low = np.where(high, np.uint64(_ESCAPE), ids) if len(escapes) else ids
-    at = np.arange(n, dtype=np.int64)
-    left = np.minimum((at // block + 1) * block, n) - at
-    most, selector = int(low.max()), np.full(n, 255, np.uint8)
+    # only how many bits an id needs matters here: narrow arrays, as this part is bound by memory
+    lengths = np.frexp(low.astype(np.float64))[1].astype(np.uint8)
+    lengths[low >= 1 << 52] = 60
+    at = np.arange(n, dtype=np.int32)
+    left = np.minimum(block - at % block, n - at)
+    most, selector = int(lengths.max()), np.full(n, 255, np.uint8)
     for k, (count, bits) in enumerate(zip(COUNTS, BITS, strict=True)):
-        free = (selector == 255) & (left >= count)
-        if most >> bits:
-            bad = np.where(low >> np.uint64(bits) != 0, at, n)
-            free &= np.minimum.accumulate(bad[::-1])[::-1] >= at + count
-        selector[free] = k
-    step = np.array(COUNTS)[selector]
+        if most <= bits:
+            fits = left >= count
+        elif count > 6:
+            # short ids come rarely in runs: a run of so many covers one multiple of the count
+            fits = np.zeros(n, bool)
+            seeds = np.flatnonzero(lengths[::count] <= bits) * count
+            padded = np.concatenate((np.full(count, 255, np.uint8), lengths, np.full(count, 255, np.uint8)))
+            for some in np.array_split(seeds, len(seeds) * count // (1 << 18) + 1):
+                bad = np.cumsum(padded[some[:, None] + np.arange(1, 2 * count)] > bits, axis=1, dtype=np.int32)
+                row, lane = np.nonzero(bad[:, count - 1 :] == np.concatenate((np.zeros((len(some), 1), np.int32), bad[:, : count - 1]), axis=1))
+                fits[some[row] - count + 1 + lane] = True
+            fits &= left >= count
+        else:
+            bad = np.where(lengths > bits, at, np.int32(n))
+            fits = (np.minimum.accumulate(bad[::-1])[::-1] - at >= count) & (left >= count)
+        selector[fits & (selector == 255)] = k
+    step = np.array(COUNTS, np.int32)[selector]
     # all blocks are walked at once, a word of each at a time
     begins = np.zeros(n, bool)
     place, ends = np.arange(0, n, block), np.minimum(np.arange(0, n, block) + block, n)
@@ -119,7 +140,7 @@ def chunk_bytes(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray,
     return b"".join((header.tobytes(), docs, offsets.astype("<u4").tobytes(), escapes.astype("<u8").tobytes(), words.astype("<u8").tobytes()))
 
 
-def read_chunks(data: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+def read_chunks(data: bytes | memoryview) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
     """(doc_ids, lengths, ids) of each chunk of a file."""
     at = 0
     while at < len(data):
@@ -139,45 +160,121 @@ def read_chunks(data: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.
         yield [d if v else None for d, v in zip(doc_ids, valid.tolist(), strict=True)], lengths, ids
 
 
-def _encoder(tokenizer: str, pieces: bool):
-    """texts -> for each the ids as little-endian uint32 bytes."""
-    kept = worker_cache().setdefault("tokenizers", {})
-    if tokenizer not in kept:
-        import os
+#: Pieces of these alone are one token run each: letters that no normalizer joins or takes apart.
+_LETTERS = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+_MARKS = ".,;:!?*#$%&|\"()-"
+_END_OF_WORD = "</w>"
 
+
+class _Encoder:
+    """Texts to ids; pieces that were met before are looked up."""
+
+    def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        kept[tokenizer] = (Tokenizer.from_file(tokenizer), {})
-    made, known = kept[tokenizer]
-    raw = lambda ids: np.array(ids, "<u4").tobytes()
-
-    def learn(new: list[bytes]) -> None:
-        if len(known) + len(new) > _PIECES_KEPT:
-            known.clear()
-        # many pieces in a call; the offsets of the tokens say which piece they belong to
-        groups = [[w.decode() for w in new[i : i + 256]] for i in range(0, len(new), 256)]
-        for group, got in zip(groups, made.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            begins = np.cumsum([0, *(len(w) + 1 for w in group)])
-            cut = (4 * np.searchsorted([a for a, _ in got.offsets], begins)).tolist()
-            ids = raw(got.ids)
-            known.update(zip((w.encode() for w in group), (ids[a:b] for a, b in zip(cut, cut[1:], strict=False)), strict=True))
-
-    def encode(texts: list[str | None]) -> list[bytes]:
-        if not pieces:
-            return [raw(e.ids) for e in made.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        out = []
-        for i in range(0, len(texts), 64):
-            split = [(t or "").encode().split() for t in texts[i : i + 64]]
-            new = set().union(*split).difference(known)
-            if new:
-                learn(list(new))
-                if lost := set().union(*split).difference(known):  # the table was emptied meanwhile
-                    learn(list(lost))
-            out += [b"".join(map(known.__getitem__, words)) for words in split]
-        return out
-
-    return encode
+        self.made = Tokenizer.from_file(tokenizer)
+        # piece -> ids as little-endian uint32 bytes; when the newer half is full it becomes the older
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        vocabulary = self.made.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(self.made.get_vocab_size() + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(_END_OF_WORD)]] = True
+
+    def _raw(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.made.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def whole(self, texts: pa.Array):
+        """(number of ids of each text, function that gives the ids of texts a to b)."""
+        raw = self._raw(["" if t is None else t for t in texts.to_pylist()])
+        return np.array([len(r) // 4 for r in raw], np.int64), lambda a, b: np.frombuffer(b"".join(raw[a:b]), "<u4")
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Pieces of letters alone: many in a call, told apart by the mark that the last token of a word carries."""
+        for i in range(0, len(words), 256):
+            group = words[i : i + 256]
+            ids = np.array(self.made.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(group):
+                self.known.update(zip(group, self._raw(group), strict=True))
+                continue
+            raw, cut = ids.tobytes(), [0, *(4 * cut).tolist()]
+            self.known.update(zip(group, (raw[a:b] for a, b in zip(cut, cut[1:], strict=False)), strict=True))
+
+    def _learn(self, new: list[str]) -> None:
+        """Adds pieces: from the older half, from their letters and marks, or by encoding them."""
+        known, older = self.known, self.older
+        halves, words, rest = [], set(), set()
+        plain = lambda w: w.isalpha() if w.isascii() else _LETTERS.fullmatch(w)
+        for w in new:
+            if (ids := older.get(w)) is not None:
+                known[w] = ids
+            elif plain(w):
+                words.add(w)
+            else:
+                # letters before marks are a run of their own, as marks are
+                stem = w.rstrip(_MARKS)
+                if len(stem) == len(w) or not "a" <= stem[-1:] <= "z":
+                    rest.add(w)
+                    continue
+                halves.append((w, stem))
+                for part in (stem, w[len(stem) :]):
+                    if part not in known:
+                        (words if plain(part) else rest).add(part)
+        self._learn_words(list(words))
+        known.update(zip(rest, self._raw(list(rest)), strict=True))
+        for w, stem in halves:
+            known[w] = known[stem] + known[w[len(stem) :]]
+
+    def pieces(self, texts: pa.Array):
+        """The same, piece by piece: each distinct piece is looked up once."""
+        gc.disable()  # millions of strings and no cycles
+        try:
+            return self._pieces(texts)
+        finally:
+            gc.enable()
+
+    def _pieces(self, texts: pa.Array):
+        texts = pc.fill_null(texts, "")
+        # the vocabulary lower-cases, but special tokens are spelt in one case only
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        coded = split.flatten().dictionary_encode()
+        if len(self.known) > _PIECES_KEPT // 2:
+            self.known, self.older = {"": b""}, self.known
+        known, distinct = self.known, coded.dictionary.to_pylist()
+        raw = list(map(known.get, distinct))
+        if new := [i for i, ids in enumerate(raw) if ids is None]:
+            self._learn([distinct[i] for i in new])
+            for i in new:
+                raw[i] = known[distinct[i]]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        firsts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(raw), "<u4")
+        codes, at = coded.indices.to_numpy(), split.offsets.to_numpy() - split.offsets[0].as_py()
+        upto = np.concatenate(([0], np.cumsum(sizes[codes])))[at]
+
+        def of(a: int, b: int) -> np.ndarray:
+            part = codes[at[a] : at[b]]
+            n = sizes[part]
+            ends = np.cumsum(n)
+            return ids[np.repeat(firsts[part] - (ends - n), n) + np.arange(n.sum())]
+
+        return np.diff(upto), of
+
+
+def _trim() -> None:
+    """Gives freed memory back to the system: a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own ways
+        pass
+
+
+def _encoder(tokenizer: str, pieces: bool):
+    kept = worker_cache().setdefault("tokenizers", {})
+    if tokenizer not in kept:
+        kept[tokenizer] = _Encoder(tokenizer)
+    return kept[tokenizer].pieces if pieces else kept[tokenizer].whole
 
 
 def encode_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, pieces: bool = True, block: int = BLOCK) -> None:
@@ -185,30 +282,38 @@ def encode_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer, pieces)
-        end = np.array([end_id], "<u4").tobytes()
-        doc_ids, parts, n = [], [], 0
-
-        def made() -> pa.RecordBatch:
-            lengths = np.array([len(p) // 4 for p in parts], np.int64)
-            data = chunk_bytes(doc_ids, lengths, np.frombuffer(b"".join(parts), "<u4"), block)
-            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["chunk"])
 
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
-                doc_ids.append(doc_id)
-                parts.append(ids + end)
-                n += len(ids) // 4 + 1
-                if n >= CHUNK_IDS:
-                    yield made()
-                    doc_ids, parts, n = [], [], 0
-        if doc_ids:
-            yield made()
+        def parts() -> Iterator[pa.RecordBatch]:
+            """Some batches at a time: small ones bound the JVM's side, larger ones know more pieces again."""
+            held: list[pa.RecordBatch] = []
+            for batch in batches:
+                held.append(batch)
+                if sum(b.num_rows for b in held) >= _TEXTS:
+                    yield pa.concat_batches(held)
+                    held.clear()
+            if held:
+                yield pa.concat_batches(held)
+
+        for part in parts():
+            if part.num_rows:
+                sizes, ids_of = encode(part.column("text"))
+                doc_ids, upto = part.column("doc_id").to_pylist(), np.concatenate(([0], np.cumsum(sizes + 1)))
+                # a chunk ends with the document that passes its share of the ids
+                cuts = np.unique(np.concatenate(([0], np.searchsorted(upto, np.arange(CHUNK_IDS, upto[-1], CHUNK_IDS)), [len(sizes)])))
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    # the end id goes after each document's own
+                    ended = np.full(upto[b] - upto[a], end_id, "<u4")
+                    ended[np.arange(len(ended) - (b - a)) + np.repeat(np.arange(b - a), sizes[a:b])] = ids_of(a, b)
+                    data = chunk_bytes(doc_ids[a:b], sizes[a:b] + 1, ended, block)
+                    yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["chunk"])
+                del part, ids_of
+                _trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange(partitions_for(rows, PARTITION_BYTES), "doc_id").sortWithinPartitions("doc_id", "text")
     # text files of one "line" for each chunk: Spark's writer puts the bytes down as they are
-    rows.mapInArrow(chunks, "chunk binary").select(F.col("chunk").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="512"):
+        rows.mapInArrow(chunks, "chunk binary").select(F.col("chunk").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -218,10 +323,11 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def _read(spark: SparkSession, path: str, of_ids, kind: pa.DataType, ddl: str, name: str) -> DataFrame:
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _trim()
         for batch in batches:
             for file, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 before = 0
-                for doc_ids, lengths, ids in read_chunks(data.as_buffer().to_pybytes()):
+                for doc_ids, lengths, ids in read_chunks(memoryview(data.as_buffer())):
                     ends = np.cumsum(lengths)
                     values = [of_ids(ids[a:b]) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array([file] * len(doc_ids)), pa.array(doc_ids, pa.int64()), pa.array(before + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(values, kind)], ["file", "doc_id", "start", "n_tokens", name])
@@ -234,7 +340,8 @@ def _read(spark: SparkSession, path: str, of_ids, kind: pa.DataType, ddl: str, n
 def digest(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document of the files."""
     crc = lambda ids: zlib.crc32(ids.astype("<u4").tobytes())
-    docs = written(_read(spark, path, crc, pa.int64(), "bigint", "ids_crc32"), "token-digests")
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1"):
+        docs = written(_read(spark, path, crc, pa.int64(), "bigint", "ids_crc32"), "token-digests")
     totals = docs.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     # a row for each file: file names are in document order
     before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
