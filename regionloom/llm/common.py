@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import sys
 import tempfile
@@ -36,14 +37,49 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+_made: list[str] = []
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
     path = scratch(df.sparkSession, tag)
     schema = df.schema
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path of whatever store it names."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def remove_last(spark: SparkSession, keep: int = 0) -> None:
+    """Deletes the table that was written last but ``keep``, once nothing reads it any more."""
+    remove(spark, _made.pop(-1 - keep))
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this process has written to the shared folder; results that read them end with it."""
+    while _made:
+        remove(spark, _made.pop())
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings (dots as two underscores) for what runs inside; as they were after."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def partitions_for(df: DataFrame, bytes_each: int) -> int:
     """How many partitions give about ``bytes_each`` of the plan's estimated input, at least the session's number."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

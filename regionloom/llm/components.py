@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import remove_last, written
 
 
 def _least(links: DataFrame, by: str, of: str, floor: bool) -> DataFrame:
@@ -44,3 +44,4 @@ def components(links: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         mark = seen
         now = written(_small_star(_large_star(now)), "links")
+        remove_last(now.sparkSession, keep=1)
