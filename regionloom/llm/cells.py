@@ -1,11 +1,40 @@
-"""Reading the cells of a grid join: rows dealt and sorted by cell, a batch at a time."""
+"""The cells of a grid join: dealing them, heavy ones in parts, and reading them sorted, a batch at a time."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+#: One item in so many is dealt beforehand, to find the heavy cells.
+SAMPLE = 128
+#: Rows of a cell, about, above which it is dealt in parts.
+HEAVY = 1 << 16
+
+
+def deal(items: DataFrame, made: Callable[[DataFrame], DataFrame], key: str, cell: list[str], heavy: int = HEAVY, sample: int = SAMPLE) -> DataFrame:
+    """``made(items)``, rows of cells, with ``part``: a cell of more than ``heavy`` rows is dealt in parts.
+
+    Its members are hashed into groups of about ``heavy``; a part is a pair of
+    groups, so any two members meet in some part and no part holds more than two
+    groups.  The sample only says which cells to part: one that it misses is
+    compared whole, and the result is the same.
+    """
+    some = items.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(sample)) == 0)
+    counts = made(some).groupBy(*cell).agg((F.count("*") * sample).alias("n")).where(F.col("n") > heavy)
+    found = written(counts.select(*cell, F.ceil(F.col("n") / heavy).alias("groups")), "heavy-cells")
+    rows = made(items)
+    if found.isEmpty():
+        return rows.withColumn("part", F.lit(0).cast("long"))
+    own = F.pmod(F.xxhash64(key, F.lit(29)), F.col("groups"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1), lambda j: F.least(own, j) * F.col("groups") + F.greatest(own, j))
+    parts = F.when(F.col("groups").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)
+    return rows.join(found, cell, "left").withColumn("part", F.explode(parts)).drop("groups")
 
 
 def cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cells import cells
+from .cells import HEAVY, cells, deal
 from .common import partitions_for, written
 from .components import components
 
@@ -86,12 +86,12 @@ def _dealt(classes: DataFrame, cosine: float) -> DataFrame:
                     # the last block may be narrower: all rows are made equally long
                     coordinates = [row.tobytes() for row in np.pad(part, ((0, 0), (0, BLOCK - part.shape[1]))).astype("<f4")]
                     full = lambda v, t: pa.array(np.full(len(at), v), t)
-                    yield pa.RecordBatch.from_arrays([pa.array(labels[at], pa.int64()), full(dim, pa.int32()), full(block, pa.int32()), pa.array(cell, pa.int64()), pa.array(ids[at], pa.int64()), pa.array([coordinates[i] for i in at.tolist()], pa.binary())], ["label", "dim", "block", "cell", "class", "part"])
+                    yield pa.RecordBatch.from_arrays([pa.array(labels[at], pa.int64()), full(dim, pa.int32()), full(block, pa.int32()), pa.array(cell, pa.int64()), pa.array(ids[at], pa.int64()), pa.array([coordinates[i] for i in at.tolist()], pa.binary())], ["label", "dim", "block", "cell", "class", "coordinates"])
 
-    return classes.select(F.col("label").cast("long").alias("label"), "class", "embedding").mapInArrow(made, "label bigint, dim int, block int, cell bigint, class bigint, part binary")
+    return classes.select(F.col("label").cast("long").alias("label"), "class", "embedding").mapInArrow(made, "label bigint, dim int, block int, cell bigint, class bigint, coordinates binary")
 
 
-def candidates(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
+def candidates(classes: DataFrame, cosine: float = COSINE, heavy: int = HEAVY) -> DataFrame:
     """(a, b), a < b: the pairs of classes that some block lets through."""
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +104,7 @@ def candidates(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
             b.clear()
             return out
 
-        for (_, dims, blocks, _, ids, parts), begins, ends in cells(batches, 4):
+        for (dims, _, blocks, _, _, ids, parts), begins, ends in cells(batches, 5):
             for i, j in zip(begins.tolist(), ends.tolist(), strict=True):
                 x, own = parts[i:j].astype(np.float64), ids[i:j]
                 share = (2 - 2 * cosine) * min(BLOCK, dims[i] - BLOCK * blocks[i]) / dims[i] + 1e-6
@@ -123,10 +123,11 @@ def candidates(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
         if a:
             yield made()
 
-    dealt = _dealt(classes, cosine)
+    cell = ["dim", "label", "block", "cell"]
+    dealt = deal(classes, lambda d: _dealt(d, cosine), "class", cell, heavy)
     n = partitions_for(classes, 1 << 20)
-    dealt = dealt.repartition(n, "label", "dim", "block", "cell").sortWithinPartitions("dim", "label", "block", "cell")
-    return dealt.select("label", "dim", "block", "cell", "class", "part").mapInArrow(joined, "a bigint, b bigint").distinct()
+    dealt = dealt.select(*cell, "part", "class", F.col("coordinates")).repartition(n, *cell, "part").sortWithinPartitions(*cell, "part")
+    return dealt.mapInArrow(joined, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, classes: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -168,3 +169,19 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     out = good.join(named, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+g AS (
+  SELECT * FROM v
+  WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.r AS a, b.r AS b FROM g a JOIN g b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= {COSINE}::DOUBLE),
+reach AS (SELECT r AS a, r AS b FROM v UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+c AS (SELECT reach.a AS r, min(o.vec_id) AS component_id FROM reach JOIN v o ON o.r = reach.b GROUP BY reach.a),
+n AS (SELECT a AS r, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, v.vec_id IS NOT DISTINCT FROM c.component_id AS kept
+FROM v JOIN c USING (r) LEFT JOIN n USING (r)
+"""

@@ -61,4 +61,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality.ORACLE_SQL, "op7_warc_revisits": warc.ORACLE_SQL, "op10_sharding": sharding.ORACLE_SQL}
+    return {"op5_quality_rules": quality.ORACLE_SQL, "op7_warc_revisits": warc.ORACLE_SQL, "op9_embedding_near_dedup": embeddings.ORACLE_SQL, "op10_sharding": sharding.ORACLE_SQL}

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cells import cells
+from .cells import HEAVY, cells, deal
 from .common import partitions_for, written
 from .components import components
 
@@ -113,7 +113,7 @@ def _stars(fp: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, int]]:
             yield members, int(members.min())
 
 
-def links(distinct: DataFrame, most: int = MOST) -> DataFrame:
+def links(distinct: DataFrame, most: int = MOST, heavy: int = HEAVY) -> DataFrame:
     """(a, b) that connect all fingerprints of column ``fp`` that differ in ``most`` bits or fewer, by way of one another."""
     if most > 4:
         raise ValueError("the grid is made for 4 bits")
@@ -122,10 +122,11 @@ def links(distinct: DataFrame, most: int = MOST) -> DataFrame:
     low, high = "(fp & 6148914691236517205L)", "(shiftrightunsigned(fp, 1) & 6148914691236517205L)"
     counts = F.expr(f"({low} ^ {high}) | shiftleft({low} & {high}, 1)")
     grid = F.array(*[F.struct(F.lit(i).cast("int").alias("axes"), F.lit(signed(m)).alias("mask")) for i, m in enumerate(masks)])
-    rows = distinct.select("fp", counts.alias("counts"), F.explode(grid).alias("g")).select(F.col("g.axes").alias("axes"), F.col("counts").bitwiseAND(F.col("g.mask")).alias("cell"), "fp")
+    celled = lambda d: d.select("fp", counts.alias("counts"), F.explode(grid).alias("g")).select(F.col("g.axes").alias("axes"), F.col("counts").bitwiseAND(F.col("g.mask")).alias("cell"), "fp")
+    rows = deal(distinct, celled, "fp", ["axes", "cell"], heavy)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, fp), begins, ends in cells(batches, 2):
+        for (_, _, _, fp), begins, ends in cells(batches, 3):
             a, b = [], []
             two = ends - begins == 2
             x, y = fp[begins[two]], fp[begins[two] + 1]
@@ -142,7 +143,8 @@ def links(distinct: DataFrame, most: int = MOST) -> DataFrame:
 
     # 70 rows of about 24 bytes for each fingerprint
     n = partitions_for(distinct, CELL_BYTES // 100)
-    dealt = rows.repartition(n, "axes", "cell").sortWithinPartitions("axes", "cell")
+    cell = ["axes", "cell", "part"]
+    dealt = rows.select(*cell, "fp").repartition(n, *cell).sortWithinPartitions(*cell)
     return dealt.mapInArrow(joined, "a bigint, b bigint").distinct()
 
 

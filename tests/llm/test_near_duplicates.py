@@ -37,7 +37,7 @@ def test_fingerprints():
         assert simhash.fingerprint(t) & (1 << 64) - 1 == plain_print(t)
 
 
-def test_links_against_all_pairs(spark):
+def test_links_against_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(4)
     bits = rng.integers(0, 1 << 63, 40, dtype=np.int64)
     fps = set(bits.tolist())
@@ -52,11 +52,12 @@ def test_links_against_all_pairs(spark):
     a = np.array(fps, np.int64).view(np.uint64)
     x, y = np.nonzero(np.bitwise_count(a[:, None] ^ a[None, :]) <= 4)
     want = joined(fps, [(fps[i], fps[j]) for i, j in zip(x, y, strict=True) if i < j])
-    links = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"))
-    got = {r.node: r.root for r in C.components(links).collect()}
-    assert all(got.get(f, f) == want[f] for f in fps)
-    for r in links.collect():
-        assert int.bit_count((r.a ^ r.b) & (1 << 64) - 1) <= 64  # members of one group, by way of others
+    # with cells of 2 rows and more dealt in parts, and with none
+    for heavy, sample in ((1, 1), (10**9, 128)):
+        monkeypatch.setattr(simhash.deal, "__defaults__", (heavy, sample))
+        links = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), heavy=heavy)
+        got = {r.node: r.root for r in C.components(links).collect()}
+        assert all(got.get(f, f) == want[f] for f in fps)
 
 
 def test_simhash_cases(spark):
@@ -102,6 +103,19 @@ def test_vectors_against_all_pairs(spark, dim):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (link[i].sum(), want[i], want[i] == i)
 
 
+def test_heavy_cells_lose_no_pair(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = (np.ones((120, 16)) + rng.normal(size=(120, 16)) * 0.1).astype(np.float32)
+    classes = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "class long, embedding array<float>, label int")
+    d = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(d @ d.T >= 0.98), strict=True) if i < j}
+    assert want
+    for heavy, sample in ((7, 1), (10**9, 128)):
+        monkeypatch.setattr(embeddings.deal, "__defaults__", (heavy, sample))
+        got = embeddings.verified(embeddings.candidates(classes, heavy=heavy), classes).collect()
+        assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
 def test_vector_cases(spark):
     rows = [(1, None, 1), (2, [0.0, 0.0], 1), (3, [1.0, None], 1), (4, [float("nan"), 1.0], 1), (5, [1.0, 0.0], None), (6, [1.0, 0.0], 1), (7, [2.0, 0.0], 1), (8, [1.0], 1), (None, [1.0, 0.0], 1), (9, [], 1), (10, [float("inf"), 1.0], 1), (6, [1.0, 0.0], 1)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, n_links string")
