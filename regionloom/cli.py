@@ -85,31 +85,36 @@ def evaluate_boxes(spark, a) -> None:
     measured = iou.compare(truth, readers.read_csv(spark, a.pseudo_manifest))
     summary = iou.summarize(measured).first().asDict()
     worst = _rows(iou.worst(measured, 10).select("image_path", "iou"), "iou", "image_path")
-    document = reports.iou_document(summary, worst)
+    document = {"gt_manifest": a.gt_manifest, "pseudo_manifest": a.pseudo_manifest, "split": a.split, **reports.iou_document(summary, worst)}
     print(json.dumps(document, indent=2, sort_keys=True))
     if a.output_json:
         sinks.write_json(document, a.output_json)
     if a.output_md:
         sinks.write_text(reports.iou_markdown(document), a.output_md)
     if a.output_csv:
-        kept = measured.where("status = 'matched'")
-        columns = ["image_path", "label", "split", "object_name", "defect_name", "bbox", "found_bbox", "iou", "gt_area", "pseudo_area", "area_ratio", "bbox_source", "pseudo_bbox_score", "pseudo_bbox_area"]
-        sinks.write_csv(kept, a.output_csv, columns, ["row_idx"], overwrite=True)
+        rows = evaluation.per_image(measured)
+        sinks.write_csv(rows, a.output_csv, [c for c in rows.columns if c != "row_idx"], ["row_idx"], overwrite=True)
 
 
 def sweep_boxes(spark, a) -> None:
-    rows = readers.by_split(readers.read_csv_strict(spark, a.manifest), a.split)
+    source = readers.by_split(readers.read_csv_strict(spark, a.manifest), a.split)
     maps = merge.merge_duplicates(readers.load_heatmaps(spark, a.heatmap_file), "max")
-    ranked, measured = evaluation.box_sweep(rows, maps, a.percentiles, a.min_area_ratios, a.components, a.missing_policy, a.upsample_to_image)
+    ranked, measured = evaluation.box_sweep(source, maps, a.percentiles, a.min_area_ratios, a.components, a.missing_policy, a.upsample_to_image)
     results = _rows(ranked, "rank")
-    sinks.write_json(reports.clean({"best": results[0], "results": results}), a.output_json) if a.output_json else None
-    sinks.write_text(reports.sweep_markdown(results), a.output_md) if a.output_md else None
-    sinks.write_csv(ranked, a.output_csv, order=["rank"], overwrite=True) if a.output_csv else None
-    if a.output_manifest_dir:
+    facts = {"gt_manifest": a.manifest, "heatmap_file": a.heatmap_file, "split": a.split, "percentiles": a.percentiles, "min_area_ratios": a.min_area_ratios, "components": a.components, "missing_policy": a.missing_policy, "ranking_metric": "mean_iou_then_recall"}
+    names = {r["setting_idx"]: os.path.join(a.output_manifest_dir, reports.setting_file(a.upsample_to_image, r["percentile"], r["min_area_ratio"], r["component"])) for r in results} if a.output_manifest_dir else {}
+    if a.output_json:
+        sinks.write_json(reports.clean({**facts, "best": results[0] if results else None, "results": results}), a.output_json)
+    if a.output_md:
+        sinks.write_text(reports.sweep_markdown(results), a.output_md)
+    if a.output_csv:
+        rows = evaluation.sweep_rows(ranked, a.upsample_to_image)
+        path = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("setting_idx")) if names else F.lit("")
+        sinks.write_csv(rows.withColumn("pseudo_manifest", path), a.output_csv, [*[c for c in rows.columns if c != "setting_idx"], "pseudo_manifest"], ["rank"], overwrite=True)
+    if names:
         measured = measured.persist()
         for r in results:
-            name = reports.setting_file(a.upsample_to_image, r["percentile"], r["min_area_ratio"], r["component"])
-            sinks.write_manifest(measured.where((F.col("setting_idx") == r["setting_idx"]) & F.col("pseudo_box").isNotNull()).select(*[c for c in rows.columns if c != "bbox"], build.B.format_box("pseudo_box").alias("bbox"), F.col("score").alias("pseudo_bbox_score"), F.col("area").alias("pseudo_bbox_area")), os.path.join(a.output_manifest_dir, name), overwrite=True)
+            sinks.write_manifest(evaluation.sweep_manifest(measured, source.columns, r, a.upsample_to_image), names[r["setting_idx"]], overwrite=True)
     print(reports.sweep_markdown(results))
 
 
@@ -144,7 +149,7 @@ def region_context(spark, a) -> None:
 def _report(a, results, facts, sign="±", weights=False) -> None:
     text = reports.grid_markdown("Few-shot results", facts, results, sign, weights)
     if a.output_json:
-        sinks.write_json({**facts, "results": results}, a.output_json)
+        sinks.write_json(reports.grid_document(facts, results), a.output_json)
     if a.output_md:
         sinks.write_text(text, a.output_md)
     print(text)
@@ -159,8 +164,8 @@ def confusion(spark, a) -> None:
     deltas = _rows(parts["deltas"], *metrics.delta_order()) if "deltas" in parts else []
     confusions = _rows(parts["confusions"], "model", "rank")
     sinks.write_json({"overall": overall, "per_class_delta": deltas, "top_confusions": confusions}, a.output_json) if a.output_json else None
-    sinks.write_csv(parts["deltas"] if "deltas" in parts else parts["per_class"], a.output_per_class_csv, overwrite=True) if a.output_per_class_csv else None
-    sinks.write_csv(parts["confusions"], a.output_confusion_csv, ["model", "y_true", "y_pred", "count", "fraction_of_true"], ["model", "rank"], overwrite=True) if a.output_confusion_csv else None
+    sinks.write_csv(parts["deltas"], a.output_per_class_csv, order=metrics.delta_order(), overwrite=True) if "deltas" in parts and a.output_per_class_csv else sinks.write_csv(parts["per_class"].drop("model"), a.output_per_class_csv, order=["label"], overwrite=True) if a.output_per_class_csv else None
+    sinks.write_csv(parts["confusions"].withColumnsRenamed({"y_true": "true", "y_pred": "pred"}), a.output_confusion_csv, ["model", "true", "pred", "count", "fraction_of_true"], [F.desc("model"), "rank"], overwrite=True) if a.output_confusion_csv else None
     text = reports.confusion_markdown(overall, deltas, confusions)
     sinks.write_text(text, a.output_md) if a.output_md else None
     print(text)
@@ -238,7 +243,7 @@ def parser() -> argparse.ArgumentParser:
     command("pseudo-masks", pseudo_masks, *regions, must("--mask-dir"), one("--component", ["all", "largest", "max-score"], "all"))
     command("evaluate-boxes", evaluate_boxes, must("--gt-manifest"), must("--pseudo-manifest"), text("--split", "train"), *outputs)
     command("sweep-boxes", sweep_boxes, must("--manifest"), must("--heatmap-file"), text("--split", "train"), many("--percentiles", _floats, [0.85, 0.90, 0.95]), many("--min-area-ratios", _floats, [0.0005, 0.001, 0.005]), many("--components", _names, ["largest", "max-score"]), one("--missing-policy", ["error", "skip"], "error"), on("--upsample-to-image"), text("--output-manifest-dir"), *outputs)
-    command("fuse-features", fuse_features, must("--whole-features"), must("--region-features"), must("--output"), one("--method", ["concat", "weighted"], "concat"), number("--alpha", 0.5), on("--normalize-input"), on("--normalize-output"), on("--overwrite"))
+    command("fuse-features", fuse_features, must("--whole-features"), must("--region-features"), must("--output"), one("--method", ["concat", "weighted-sum"], "concat"), number("--alpha", 0.5), on("--normalize-input"), on("--normalize-output"), on("--overwrite"))
     source = [one("--feature-source", ["metadata", "hash", "cached"], "cached"), text("--feature-file"), text("--hash-salt", "")]
     command("few-shot", few_shot, *grid, *source, text("--grid", evaluation.GRID), whole("--episodes", 200), whole("--feature-dim", 384))
     command("prototype-baseline", few_shot, *grid, one("--feature-source", ["metadata", "hash", "cached"], "metadata"), text("--feature-file"), text("--hash-salt", ""), text("--grid", "5:1"), whole("--episodes", 100), whole("--feature-dim", 64))

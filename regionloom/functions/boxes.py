@@ -86,3 +86,9 @@ def format_box(boxes: pd.DataFrame) -> pd.Series:
     """'x1,y1,x2,y2' with two decimals of the exact binary value, which JVM formatting rounds otherwise."""
     rows = boxes[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None)
     return pd.Series([None if any(v is None for v in r) or any(v != v for v in r) else ",".join(f"{v:.2f}" for v in r) for r in rows], dtype="object")
+
+
+@F.pandas_udf(T.StringType())
+def six_decimals(values: pd.Series) -> pd.Series:
+    """A number with six decimals of its exact binary value; null stays null."""
+    return pd.Series([None if v is None or v != v else f"{v:.6f}" for v in values], dtype="object")

@@ -55,7 +55,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def fuse(whole: Column, region: Column, method: str = "concat", alpha: float = 0.5, normalize_input: bool = False, normalize_output: bool = False) -> Column:
     """Concatenation, or alpha * whole + (1 - alpha) * region."""
-    if method not in ("concat", "weighted"):
+    if method not in ("concat", "weighted-sum"):
         raise ValueError(f"unknown fusion method: {method}")
     if not 0 <= alpha <= 1:
         raise ValueError("alpha must be between 0 and 1")

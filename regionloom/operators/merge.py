@@ -124,7 +124,7 @@ def fuse_caches(whole: DataFrame, region: DataFrame, method: str = "concat", alp
     require_same_keys(whole, region)
     r = region.select("image_path", F.col("feature").alias("_f"), *[F.col(c).alias(f"_{c}") for c in ("region", "crop_box") if c in region.columns])
     fused = V.fuse(F.col("feature"), F.col("_f"), method, alpha, normalize_input, normalize_output)
-    out = whole.join(r, "image_path").withColumn("feature", fused).withColumn("fusion_method", F.lit(method)).withColumn("fusion_alpha", F.lit(float(alpha)) if method == "weighted" else F.lit(None).cast("double"))
-    out = out.withColumn("whole_region", F.col("region") if "region" in whole.columns else F.lit(None).cast("string")).withColumn("region_region", F.col("_region") if "_region" in r.columns else F.lit(None).cast("string"))
+    out = whole.join(r, "image_path").withColumn("feature", fused).withColumn("fusion_method", F.lit(method)).withColumn("fusion_alpha", F.lit(float(alpha)) if method == "weighted-sum" else F.lit(None).cast("double"))
+    out = out.withColumn("whole_region", F.coalesce(F.col("region"), F.lit("whole")) if "region" in whole.columns else F.lit("whole")).withColumn("region_region", F.coalesce(F.col("_region"), F.lit("region")) if "_region" in r.columns else F.lit("region"))
     out = out.withColumn("region_crop_box", F.col("_crop_box") if "_crop_box" in r.columns else F.lit(None).cast("array<int>"))
     return out.drop("_f", "_region", "_crop_box").orderBy("image_path")

@@ -70,7 +70,7 @@ def pseudo_boxes(manifest: DataFrame, heatmaps: DataFrame, percentile: float = 0
     old = F.col("bbox") if "bbox" in manifest.columns else F.lit("")
     source = F.lit("pseudo_heatmap_upsampled" if upsample else "pseudo_heatmap")
     out = out.withColumn("bbox", F.when(F.col("found"), B.format_box("box")).otherwise(old)).withColumn("bbox_source", F.when(F.col("found"), source).otherwise(""))
-    out = out.withColumn("pseudo_bbox_score", F.col("score").cast("string")).withColumn("pseudo_bbox_area", F.col("area").cast("string"))
+    out = out.withColumn("pseudo_bbox_score", B.six_decimals("score")).withColumn("pseudo_bbox_area", F.col("area").cast("string"))
     out = out.withColumn("pseudo_bbox_heatmap_processing", F.when(F.col("found"), F.lit("bilinear_to_image" if upsample else "native_grid")).otherwise(""))
     out = merge.fill_missing(out, ["bbox"], missing) if missing != "error" else out
     return out.select(*[c for c in sinks.append_columns(manifest.columns, ["bbox", "bbox_source", "pseudo_bbox_score", "pseudo_bbox_area", "pseudo_bbox_heatmap_processing"])])
@@ -80,16 +80,16 @@ def pseudo_masks(manifest: DataFrame, heatmaps: DataFrame, mask_dir: str, percen
     """``manifest`` with masks written below ``mask_dir``, and their boxes."""
     rows = _joined(manifest, heatmaps, missing)
     made = regions.heatmap_masks(rows.where("found").select("row_idx", "image_path", "heatmap", "image_width", "image_height"), ["row_idx", "image_path"], percentile, min_area_ratio, component, upsample)
-    made = made.withColumn("made_path", P.mask_path(mask_dir, F.col("image_path")))
+    made = made.withColumn("made_path", P.mask_path(os.path.abspath(mask_dir), F.col("image_path")))
     if write:
         sinks.write_masks(made.select("made_path", "mask"), "made_path")
     small = made.select("row_idx", "made_path", "box", "score", "area")
     old = lambda c: F.col(c) if c in manifest.columns else F.lit("")
     out = rows.drop("heatmap", "image_width", "image_height").join(small, "row_idx", "left")
-    name = "pseudo_heatmap_mask" + ("_upsampled" if upsample else "")
+    up = "_upsampled" if upsample else ""
     out = out.withColumn("mask_path", F.when(F.col("found"), F.col("made_path")).otherwise(old("mask_path"))).withColumn("bbox", F.when(F.col("found"), B.format_box("box")).otherwise(old("bbox")))
     value = lambda v: F.when(F.col("found"), v).otherwise("")
-    out = out.withColumns({"mask_source": value(F.lit(name)), "bbox_source": value(F.lit(name)), "pseudo_mask_score": F.col("score").cast("string"), "pseudo_mask_area": F.col("area").cast("string"), "pseudo_mask_component": value(F.lit(component)), "pseudo_mask_heatmap_processing": value(F.lit("bilinear_to_image" if upsample else "native_grid"))})
+    out = out.withColumns({"mask_source": value(F.lit("pseudo_heatmap_mask" + up)), "bbox_source": value(F.lit("pseudo_mask_tight_box" + up)), "pseudo_mask_score": B.six_decimals("score"), "pseudo_mask_area": F.col("area").cast("string"), "pseudo_mask_component": value(F.lit(component)), "pseudo_mask_heatmap_processing": value(F.lit("bilinear_to_image" if upsample else "native_grid"))})
     if missing != "error":
         out = merge.fill_missing(merge.fill_missing(out, ["mask_path", "bbox"], missing), [], missing, source="mask_source")
     return out.select(*sinks.append_columns(manifest.columns, ["mask_path", "bbox", "mask_source", "bbox_source", "pseudo_mask_score", "pseudo_mask_area", "pseudo_mask_component", "pseudo_mask_heatmap_processing"]))

@@ -107,5 +107,32 @@ def box_sweep(manifest: DataFrame, heatmaps: DataFrame, percentiles=(0.85, 0.90,
     return iou.rank(iou.summarize(measured, keys)), measured
 
 
+def per_image(measured: DataFrame) -> DataFrame:
+    """Matched rows of ``iou.compare`` as they are written: boxes as text."""
+    of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in measured.columns else F.lit("")
+    rows = measured.where("status = 'matched'")
+    boxes = {"gt_bbox": B.format_box("gt_box"), "pseudo_bbox": B.format_box("pseudo_box")}
+    return rows.select("row_idx", *[of(c).alias(c) for c in ("image_path", "label", "split", "object_name", "defect_name")], *[v.alias(k) for k, v in boxes.items()], "iou", "gt_area", "pseudo_area", "area_ratio", *[of(c).alias(c) for c in ("bbox_source", "pseudo_bbox_score", "pseudo_bbox_area")])
+
+
+def sweep_rows(ranked: DataFrame, upsample: bool = False) -> DataFrame:
+    """The ranked sweep as its CSV has it."""
+    counts = {"gt_rows": "gt_rows", "missing_heatmap_rows": "missing_pseudo_rows", "invalid_gt_bbox_rows": "invalid_gt_bbox_rows"}
+    means = {"mean_iou": "iou_mean", "median_iou": "iou_median", "recall_iou_025": "recall_25", "recall_iou_050": "recall_50", "mean_area_ratio": "area_ratio_mean"}
+    found = (F.col("gt_rows") - F.col("missing_pseudo_rows")).alias("matched_heatmap_rows")
+    return ranked.select("rank", "setting_idx", "percentile", "min_area_ratio", "component", F.lit("bilinear_to_image" if upsample else "native_grid").alias("heatmap_processing"), F.col("gt_rows"), found, F.col("iou_count").alias("evaluated_rows"), *[F.col(v).alias(k) for k, v in list(counts.items())[1:]], *[F.col(v).alias(k) for k, v in means.items()])
+
+
+def sweep_manifest(measured: DataFrame, columns: list[str], setting: dict, upsample: bool = False) -> DataFrame:
+    """The pseudo-box manifest of one setting: the source's columns, then what the sweep adds."""
+    rows = measured.where((F.col("setting_idx") == setting["setting_idx"]) & F.col("pseudo_box").isNotNull())
+    added = {
+        "bbox": B.format_box("pseudo_box"), "bbox_source": F.lit("pseudo_heatmap_sweep" + ("_upsampled" if upsample else "")), "pseudo_bbox_score": B.six_decimals("score"), "pseudo_bbox_area": F.col("area").cast("string"),
+        "pseudo_bbox_percentile": F.lit(f"{setting['percentile']:g}"), "pseudo_bbox_min_area_ratio": F.lit(f"{setting['min_area_ratio']:g}"), "pseudo_bbox_component": F.lit(setting["component"]), "pseudo_bbox_heatmap_processing": F.lit("bilinear_to_image" if upsample else "native_grid"),
+    }
+    kept = [c for c in columns if c not in added]
+    return rows.select(*kept, *[v.alias(k) for k, v in added.items()]).select("row_idx", *[c for c in columns if c != "row_idx"], *[c for c in added if c not in columns])
+
+
 def load_split(spark, manifest: str, split: str) -> DataFrame:
     return readers.require(readers.by_split(readers.load_manifest(spark, manifest), split, everything=False), f"no rows of split {split} in {manifest}")

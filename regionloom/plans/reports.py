@@ -44,6 +44,13 @@ def grid_markdown(title: str, facts: dict[str, str], results: list[dict], sign:
     return "\n".join([f"# {title}", "", *[f"- {k.capitalize()}: `{v}`" for k, v in facts.items()], "", *table(header, rows, 4), ""])
 
 
+def grid_document(facts: dict, results: list[dict]) -> dict:
+    """Facts and, for each result, its setting and the mean and deviation of each measure."""
+    nested = lambda r: {m: {k: r[f"{m}_{k}"] for k in ("mean", "stdev")} for m in ("accuracy", "balanced_accuracy", "macro_f1")}
+    rest = lambda r: {k: v for k, v in r.items() if not k.endswith(("_mean", "_stdev"))}
+    return {**facts, "results": [{**rest(r), "metrics": nested(r)} for r in results]}
+
+
 def iou_document(summary: dict, worst: list[dict]) -> dict:
     """The nested document of one summary row."""
     part = lambda p: {k: summary[f"{p}_{k}"] for k in ("count", "mean", "median", "stdev", "min", "p25", "p75", "max")}

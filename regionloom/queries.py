@@ -179,7 +179,7 @@ def feature_fuse_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + _E + "h AS (SELECT vec_id, i % 32 AS i, sum(CASE WHEN i < 32 THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END * x) AS x FROM e GROUP BY ALL), v AS (SELECT vec_id, i, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS v FROM h)" + _DIGEST)
 def feature_fuse_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digest(_halves(spark, sf_dir).withColumn("v", V.fuse(F.col("a"), F.col("b"), "weighted", 0.25, normalize_output=True)))
+    return _digest(_halves(spark, sf_dir).withColumn("v", V.fuse(F.col("a"), F.col("b"), "weighted-sum", 0.25, normalize_output=True)))
 
 
 _FORMS = """

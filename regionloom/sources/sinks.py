@@ -31,13 +31,13 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, order:
     """One named CSV, streamed row by row through the driver; missing columns and nulls are blank."""
     guard(path, overwrite)
     columns = columns or df.columns
-    rows = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns], *[F.col(c).alias(f"_o{i}") if isinstance(c, str) else c.alias(f"_o{i}") for i, c in enumerate(order or [])])
-    rows = rows.orderBy(*[f"_o{i}" for i in range(len(order or []))]) if order else rows
+    rows = df.orderBy(*order) if order else df
+    rows = rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns])
     with open(path, "w", encoding="utf-8", newline="") as f:
         out = csv.writer(f)
         out.writerow(columns)
         for r in rows.toLocalIterator():
-            out.writerow(r[: len(columns)])
+            out.writerow(r)
 
 
 def write_jsonl(df: DataFrame, path: str, order: list | None = None, overwrite: bool = False) -> None:

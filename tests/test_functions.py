@@ -29,7 +29,7 @@ def test_vectors(spark):
     assert one(spark, V.l2_normalize(vec([3, 4]))) == [0.6, 0.8]
     assert one(spark, V.l2_normalize(vec([0, 0]))) == [0, 0]
     assert one(spark, V.fuse(vec([1, 2]), vec([3, 4]))) == [1, 2, 3, 4]
-    assert one(spark, V.fuse(vec([1, 0]), vec([0, 1]), "weighted", 0.25)) == [0.25, 0.75]
+    assert one(spark, V.fuse(vec([1, 0]), vec([0, 1]), "weighted-sum", 0.25)) == [0.25, 0.75]
     assert one(spark, V.min_max(vec([2, 4, 6]))) == [0, 0.5, 1]
     assert one(spark, V.min_max(vec([3, 3]))) == [0, 0]
     assert one(spark, V.scores_to_grid(vec([0, 1, 2, 3]))) == [[0, 1 / 3], [2 / 3, 1]]
@@ -42,9 +42,9 @@ def test_errors(spark, column):
     with pytest.raises(Exception, match="lengths differ"):
         one(spark, V.dot(vec([1]), vec([1, 2])))
     with pytest.raises(Exception, match="one length"):
-        one(spark, V.fuse(vec([1]), vec([1, 2]), "weighted"))
+        one(spark, V.fuse(vec([1]), vec([1, 2]), "weighted-sum"))
     with pytest.raises(ValueError):
-        V.fuse(F.lit(1), F.lit(1), "weighted", 1.5)
+        V.fuse(F.lit(1), F.lit(1), "weighted-sum", 1.5)
 
 
 def test_boxes(spark):

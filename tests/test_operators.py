@@ -224,6 +224,16 @@ def test_pipeline_and_commands(spark, tmp_path):
     assert open(masks[0].mask_path, "rb").read(8) == b"\x89PNG\r\n\x1a\n"
     cli.main(["evaluate-boxes", "--gt-manifest", at("m.csv"), "--pseudo-manifest", at("out/pseudo_bbox.csv"), "--split", "test", "--output-json", at("iou.json")])
     assert json.load(open(at("iou.json")))["iou"]["mean"] == 1
+    cli.main(["evaluate-boxes", "--gt-manifest", at("m.csv"), "--pseudo-manifest", at("out/pseudo_mask.csv"), "--split", "test", "--output-csv", at("iou.csv")])
+    assert open(at("iou.csv")).readline().strip() == "image_path,label,split,object_name,defect_name,gt_bbox,pseudo_bbox,iou,gt_area,pseudo_area,area_ratio,bbox_source,pseudo_bbox_score,pseudo_bbox_area"
+    cli.main(["sweep-boxes", "--manifest", at("m.csv"), "--heatmap-file", at("h.jsonl"), "--split", "test", "--percentiles", "0.75", "--min-area-ratios", "0.01", "--output-csv", at("sweep.csv"), "--output-json", at("sweep.json"), "--output-manifest-dir", at("sweep")])
+    head, first = open(at("sweep.csv")).read().splitlines()[:2]
+    assert head.startswith("rank,percentile,min_area_ratio,component,heatmap_processing,gt_rows,matched_heatmap_rows,evaluated_rows,missing_heatmap_rows,invalid_gt_bbox_rows,mean_iou,median_iou,recall_iou_025,recall_iou_050,mean_area_ratio,pseudo_manifest")
+    assert first.startswith("1,0.75,0.01,largest,native_grid,12,12,12,0,0,1.0") and len(list((tmp_path / "sweep").iterdir())) == 2
+    swept = readers.read_csv(spark, at("sweep/pseudo_bbox_native_p0p75_area0p01_largest.csv")).first()
+    assert swept.bbox == "10.00,10.00,30.00,30.00" and swept.pseudo_bbox_score == "0.750000" and swept.bbox_source == "pseudo_heatmap_sweep"
+    cli.main(["confusion", "--manifest", at("m.csv"), "--split", "test", "--whole-feature-file", at("f.jsonl"), "--region-feature-file", at("f.jsonl"), "--baseline-feature-file", at("f.jsonl"), "--whole-dim", "3", "--region-dim", "3", "--baseline-dim", "3", "--n-way", "3", "--k-shot", "1", "--q-queries", "2", "--episodes", "2", "--output-per-class-csv", at("pc.csv"), "--output-confusion-csv", at("cf.csv"), "--output-md", at("cf.md")])
+    assert open(at("cf.csv")).read().strip() == "model,true,pred,count,fraction_of_true" and len(open(at("pc.csv")).readlines()) == 4
     cli.main(["few-shot", "--manifest", at("m.csv"), "--split", "test", "--feature-file", at("f.jsonl"), "--feature-dim", "3", "--grid", "3:1", "--q-queries", "2", "--episodes", "3", "--output-md", at("r.md")])
     assert "100.00 ± 0.00" in open(at("r.md")).read()
     build.run_models({"x": build.HeatmapPipeline(spark, at("m.csv"), at("o2"), [at("missing.jsonl")])}, at("s.jsonl"))
