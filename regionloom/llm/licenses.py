@@ -8,10 +8,10 @@ keeps few of them.  A temperature fitted on held-out paragraphs calibrates the
 probabilities, so that the unknown class wins where evidence is thin.
 
 Scan (DataFrame functions alone): a paragraph can leave the unknown class only
-by a gram that speaks for a family, and each such gram contains one of the
-model's anchor words.  So paragraphs without an anchor word are unknown without
-being scored; the rest are classified once for each distinct paragraph, by
-joining its grams to the weights (a table of at most ``MOST_FEATURES`` rows).
+if its grams outweigh that class's lead, and grams without one of the model's
+anchor words cannot, even all together.  So paragraphs without an anchor word
+are unknown without being scored; the rest are classified once for each distinct
+paragraph, by joining its grams to the weights (at most ``MOST_FEATURES`` rows).
 A prediction stands if at least 0.8 of the paragraph's 5-word shingles are in
 the family's notices.
 
@@ -133,9 +133,24 @@ class Model:
     temperature: float
 
     def anchors(self, common: dict[str, int]) -> list[str]:
-        """A word of every gram that speaks for a family, the one that the sample has least."""
-        speaks = (self.weights[:, 1:] > self.weights[:, :1]).any(axis=1)
-        return sorted({min(f.split(" "), key=lambda w: (common.get(w, 0), w)) for f, s in zip(self.features, speaks, strict=True) if s})
+        """Words of which a paragraph must have one to leave the unknown class.
+
+        Each gram that speaks for a family is first held by its word that the
+        sample has least.  Then words are let go, the most common first, as long
+        as all grams that no word holds together cannot outweigh the unknown
+        class's lead over any family.
+        """
+        evidence = np.maximum(self.weights[:, 1:] - self.weights[:, :1], 0)
+        grams = [(set(f.split(" ")), e) for f, e in zip(self.features, evidence, strict=True) if e.any()]
+        lead = self.bias[0] - self.bias[1:]
+        often = lambda w: (common.get(w, 0), w)
+        held = {min(words, key=often) for words, _ in grams}
+        for word in sorted(held, key=often, reverse=True):
+            rest = held - {word}
+            free = sum((e for words, e in grams if not words & rest), np.zeros(len(lead)))
+            if (free < lead).all():
+                held = rest
+        return sorted(held)
 
 
 def fit(rows: list[set[str]], labels: np.ndarray, features: list[str], steps: int = 300, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
