@@ -8,8 +8,13 @@ are read once.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as V
 
@@ -91,12 +96,73 @@ def weight_grid(whole: DataFrame, region: DataFrame, weights: list[float], keys:
     return out.select("weight_idx", "whole_weight", *on, (F.col("whole_weight") * F.col("_w") + (1 - F.col("whole_weight")) * F.col("_r")).alias("score"))
 
 
+#: Numbers in a block of vectors at most (1 MB), and in one product of two blocks.
+BLOCK = 1 << 17
+
+
+def _blocks(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """(_rows, _values, _width): vectors of one Arrow batch, cut into blocks of at most ``BLOCK`` numbers, with their keys."""
+    each = df.select(F.struct(*[F.col(k) for k in keys] or [F.lit(0).alias("_")]).alias("_k"), V.doubles(F.col(vector)).alias("_v"))
+
+    def pack(batches):
+        for b in batches:
+            widths = np.unique(b.column("_v").value_lengths().fill_null(-1))
+            if len(widths) > 1 or (widths < 0).any():
+                raise ValueError(f"vector lengths differ: {widths.tolist()}")
+            step = max(1, BLOCK // max(1, *widths.tolist())) if len(widths) else 1
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
+                values = np.asarray(part.column("_v").flatten().to_numpy(zero_copy_only=False), "f8")
+                rows = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("_k"))
+                yield pa.RecordBatch.from_arrays([rows, pa.array([values.tobytes()], pa.binary()), pa.array(widths[:1], pa.int32())], ["_rows", "_values", "_width"])
+
+    out = T.StructType().add("_rows", T.ArrayType(each.schema["_k"].dataType)).add("_values", T.BinaryType()).add("_width", T.IntegerType())
+    return each.mapInArrow(pack, out)
+
+
 def nearest_memory(tokens: DataFrame, memory: DataFrame, keys: list[str], vector: str = "token") -> DataFrame:
     """(keys, score): 1 - the highest cosine of each token to any memory vector (both normalised).
 
-    The memory bank is bounded by its sampler (at most 20,000 patches by
-    default), so it goes along as one array; tokens are not shuffled.
+    Every token meets every memory vector: both are cut into bounded blocks,
+    each pair of blocks is one matrix product of which the highest of each token
+    is kept, and the highest of all pairs is the result.  Neither side is
+    collected, so the memory may be of any size.  With an empty memory the
+    highest is -2; null memory vectors count for nothing.
     """
-    bank = memory.agg(F.collect_list(vector).alias("_bank"))
-    best = F.aggregate("_bank", F.lit(-2.0), lambda acc, m: F.greatest(acc, V.dot(F.col(vector), m)))
-    return tokens.crossJoin(bank).select(*keys, (1 - best).alias("score"))
+    spark = tokens.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = _blocks(tokens, keys, vector).withColumn("_block", F.monotonically_increasing_id()).repartition(parts)
+    nothing = spark.range(1).select(F.lit(b"").alias("_memory"), F.lit(0).alias("_memory_width"))
+    held = _blocks(memory.where(F.col(vector).isNotNull()), [], vector).select(F.col("_values").alias("_memory"), F.col("_width").alias("_memory_width"))
+    pairs = asked.crossJoin(held.unionByName(nothing).repartition(math.ceil(math.sqrt(parts))))
+    kinds = [tokens.schema[k] for k in keys]
+
+    def highest(batches):
+        def found():
+            return pa.RecordBatch.from_arrays([*rows.flatten(), pa.array(np.full(len(top), block)), pa.array(np.arange(len(top), dtype="i4")), pa.array(top)], [*keys, "_block", "_at", "_top"])
+
+        block = rows = top = None
+        for b in batches:
+            for r in range(b.num_rows):
+                one = {n: b.column(n)[r] for n in b.schema.names}
+                if block != one["_block"].as_py():
+                    if block is not None:
+                        yield found()
+                    block, rows = one["_block"].as_py(), one["_rows"].values
+                    top = np.full(len(rows), -2.0)
+                    width = one["_width"].as_py()
+                    q = np.frombuffer(one["_values"].as_buffer(), "f8").reshape(len(rows), width)
+                if not (m := np.frombuffer(one["_memory"].as_buffer(), "f8")).size:
+                    continue
+                if one["_memory_width"].as_py() != width:
+                    raise ValueError(f"vector lengths differ: {width} and {one['_memory_width'].as_py()}")
+                m = m.reshape(-1, width).T
+                step = max(1, BLOCK // m.shape[1])
+                for at in range(0, len(q), step):
+                    top[at : at + step] = np.maximum(top[at : at + step], (q[at : at + step] @ m).max(axis=1))
+        if block is not None:
+            yield found()
+
+    out = T.StructType([T.StructField(k.name, k.dataType) for k in kinds]).add("_block", T.LongType()).add("_at", T.IntegerType()).add("_top", T.DoubleType())
+    each = pairs.mapInArrow(highest, out)
+    return each.groupBy(*keys, "_block", "_at").agg(F.max("_top").alias("_top")).select(*keys, (1 - F.col("_top")).alias("score"))

@@ -205,19 +205,32 @@ def patch_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select(F.col("row_idx").alias("vec_id"), "patch", r6("s").alias("score"))
 
 
+def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """row_idx, label, patch, token: eight normalised tokens of eight values for each image."""
+    return features(spark, sf_dir).select("row_idx", "label", F.posexplode(F.transform(V.rows_of(F.col("feature"), F.lit(8)), V.l2_normalize)).alias("patch", "token"))
+
+
 @query("WITH " + _E + """
 t AS (SELECT vec_id, label, i // 8 AS k, i % 8 AS d, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id, i // 8)) AS x FROM e),
 q AS (SELECT * FROM t WHERE vec_id % 20 = 1), m AS (SELECT * FROM t WHERE label = '0' AND vec_id % 10 = 0),
 s AS (SELECT q.vec_id, q.k, m.vec_id AS mv, m.k AS mk, sum(q.x * m.x) AS c FROM q JOIN m USING (d) GROUP BY ALL)
 SELECT vec_id, k::INT AS patch, round(1 - max(c), 6) + 0.0 AS score FROM s GROUP BY ALL""")
 def nearest_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query images and memory images are split by their number, as a train and a test split would be."""
-    tokens = features(spark, sf_dir).select("row_idx", "label", F.posexplode(F.transform(V.rows_of(F.col("feature"), F.lit(8)), V.l2_normalize)).alias("patch", "token"))
+    """What its SQL can hold: a part of the images against a part of the memory. ``nearest_memory_all`` is the whole job."""
+    tokens = _patches(spark, sf_dir)
     memory = tokens.where("label = '0' AND row_idx % 10 = 0")
     out = classify.nearest_memory(tokens.where("row_idx % 20 = 1"), memory, ["row_idx", "patch"])
     return out.select(F.col("row_idx").alias("vec_id"), "patch", r6("score").alias("score"))
 
 
+@query()
+def nearest_memory_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every patch of every image against every patch of the images of label 0."""
+    tokens = _patches(spark, sf_dir)
+    out = classify.nearest_memory(tokens, tokens.where("label = '0'"), ["row_idx", "patch"])
+    return out.select(F.col("row_idx").alias("vec_id"), "patch", r6("score").alias("score"))
+
+
 # -- metrics on derived predictions --------------------------------------------------------------------------------
 
 _PRED = """

@@ -2,6 +2,7 @@ import math
 import os
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -50,3 +51,16 @@ def test_grid_without_sql(spark):
     rows = core.QUERIES["few_shot_grid"](spark, SF).orderBy("setting_idx").collect()
     assert [(r.n_way, r.k_shot) for r in rows] == [(5, 1), (5, 3), (5, 5), (10, 1), (10, 5)]
     assert all(0 <= r.accuracy_mean <= 1 and r.accuracy_stdev >= 0 for r in rows)
+
+
+def test_every_image_against_the_whole_memory(spark, tmp_path):
+    """No image and no row of label 0 is left out, whatever its number."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=64).tolist(), i % 3) for i in range(70)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    unit = {i: (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(np.float32(v).astype(float).reshape(8, 8)) for i, v, _ in rows}
+    memory = np.concatenate([unit[i] for i, _, label in rows if label == 0])
+    want = {(i, k): 1 - (memory @ t).max() for i in unit for k, t in enumerate(unit[i])}
+    got = {(r.vec_id, r.patch): r.score for r in core.QUERIES["nearest_memory_all"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and len(got) == 560
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in want)

@@ -301,3 +301,25 @@ def test_posix_form_of_paths(spark):
     probe = spark.createDataFrame([(0, ".\\a\\\\b"), (1, "a/b/")], "row_idx int, image_path string")
     stored = spark.createDataFrame([("a/b", 1)], "image_path string, value int")
     assert [r.value for r in merge.lookup(probe, stored, "image_path", ["value"]).orderBy("row_idx").collect()] == [1, 1]
+
+
+def test_nearest_memory_in_blocks(spark, monkeypatch):
+    """Every token against every memory vector, whatever the blocks; repeated keys and an empty memory keep their rows."""
+    rng = np.random.default_rng(3)
+    unit = lambda n: (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(rng.normal(size=(n, 8)))
+    q, m = unit(150), unit(90)
+    tokens = spark.createDataFrame([(f"i{i // 8}", i % 8, v.tolist()) for i, v in enumerate(q)] + [("i0", 0, q[0].tolist())], "name string, patch int, token array<double>")
+    memory = spark.createDataFrame([(v.tolist(),) for v in m] + [(None,)], "token array<double>")
+    want = sorted([(f"i{i // 8}", i % 8, round(1 - (m @ v).max(), 9)) for i, v in enumerate(q)] + [("i0", 0, round(1 - (m @ q[0]).max(), 9))])
+    for block in (classify.BLOCK, 8 * 7):
+        monkeypatch.setattr(classify, "BLOCK", block)
+        for most in ("10485760", "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+            try:
+                got = classify.nearest_memory(tokens, memory, ["name", "patch"]).collect()
+            finally:
+                spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            assert sorted((r.name, r.patch, round(r.score, 9)) for r in got) == want
+    assert [r.score for r in classify.nearest_memory(tokens, memory.limit(0), ["name", "patch"]).collect()] == [3.0] * 151
+    with pytest.raises(Exception, match="vector lengths differ"):
+        classify.nearest_memory(tokens, spark.createDataFrame([([1.0, 0.0],)], "token array<double>"), ["name", "patch"]).collect()
