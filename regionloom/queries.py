@@ -339,7 +339,7 @@ def few_shot_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def region_context_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir)
     whole, region = (f.select("row_idx", F.slice("feature", k, 32).alias("feature")) for k in (1, 33))
-    return evaluation.region_context_grid(f.select("row_idx", "label"), whole, region, [0.25, 0.5, 0.75], "5:1,5:5", count=50)
+    return evaluation.region_context_grid(f.select("row_idx", "label"), whole, region, [0.25, 0.5, 0.75], count=200)
 
 
 @query("""

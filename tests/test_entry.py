@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from regionloom import queries as core
+from regionloom.plans import evaluation
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -64,3 +65,15 @@ def test_every_image_against_the_whole_memory(spark, tmp_path):
     got = {(r.vec_id, r.patch): r.score for r in core.QUERIES["nearest_memory_all"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and len(got) == 560
     assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+@needs_data
+def test_fused_grid_runs_every_setting_and_episode(spark, monkeypatch):
+    drawn = []
+    sample = evaluation.episodes.sample
+    monkeypatch.setattr(evaluation.episodes, "sample", lambda *a, **k: drawn.append(sample(*a, **k)) or drawn[-1])
+    rows = core.QUERIES["region_context_episodes"](spark, SF).collect()
+    settings = [(5, 1), (5, 3), (5, 5), (10, 1), (10, 5)]
+    assert sorted((r.whole_weight, r.n_way, r.k_shot, r.episodes) for r in rows) == sorted((w, *s, 200) for w in (0.25, 0.5, 0.75) for s in settings)
+    assert all(0 <= r.accuracy_mean <= 1 and r.accuracy_stdev >= 0 for r in rows)
+    assert drawn[0].select("setting_idx", "episode_idx").distinct().count() == 1000
