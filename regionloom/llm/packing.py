@@ -16,18 +16,21 @@ holds much needs many bins; it is never dropped.
 
 Defined cases: a text without words gives one row without a bin; a null source
 conflicts with nothing; texts that are equal are one cluster unless the caller
-names a cluster column; repeated rows are packed each for itself, never in one
+names a cluster column or asks for ``near`` copies, when the components of op3
+are the clusters; repeated rows are packed each for itself, never in one
 bin; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import word_count, written
 
 CAPACITY = 1024
@@ -74,14 +77,36 @@ def best_fit(items: list[tuple[int, int | None, int]], capacity: int) -> tuple[l
     return bins, places
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, group_words: int = GROUP_WORDS, cluster: Column | None = None, seed: int = 7) -> DataFrame:
+def _measures() -> list[Column]:
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")]
+
+
+def _near(docs: DataFrame, seed: int) -> DataFrame:
+    """The rows to pack, with a cluster for each component of near copies; texts stay where they are."""
+
+    @F.pandas_udf("bigint")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([simhash.fingerprint(t) for t in batch], dtype="int64")
+
+    rows = written(docs.select(*_measures(), of(F.col("text")).alias("fp")), "pack-prints")
+    roots = simhash._rooted(rows.select("doc_id", "fp"), simhash.MOST).select("fp", "root")
+    return rows.join(roots, "fp").select("doc_id", "source", "size", F.xxhash64("root", F.lit(seed)).alias("cluster"))
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, group_words: int = GROUP_WORDS, cluster: Column | None = None, near: bool = False, seed: int = 7) -> DataFrame:
     """A row for each piece of each document: doc_id, piece, start_word, n_words, bin, place, bin_words.
 
     ``bin`` names the sequence; words ``start_word`` to ``start_word + n_words``
     of the text go at ``place`` of it.
     """
-    key = F.xxhash64("text", F.lit(seed)) if cluster is None else F.xxhash64(cluster, F.lit(seed))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("cluster"))
+    if near:
+        if cluster is not None:
+            raise ValueError("near copies are clusters of their own")
+        rows = _near(docs, seed)
+    else:
+        key = F.xxhash64("text", F.lit(seed)) if cluster is None else F.xxhash64(cluster, F.lit(seed))
+        rows = docs.select(*_measures(), key.alias("cluster"))
     rows = written(rows, "pack-rows")
     words, n = rows.agg(F.sum(F.col("size") % capacity), F.count("*")).first()
     groups = max(1, math.ceil((words or 0) / group_words), math.ceil(n / GROUP_ROWS))

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from regionloom.llm import packing
+from regionloom.llm import packing, queries, simhash
 
 
 def plain_best_fit(items, capacity):
@@ -80,3 +80,23 @@ def test_cases(spark):
     assert packing.pack(docs.limit(0)).count() == 0
     named = packing.pack(docs.withColumn("c", F.lit(7)), capacity=4, cluster=F.col("c")).where("bin is not null").groupBy("bin").count()
     assert all(r["count"] == 1 for r in named.collect())
+
+
+def test_near_copies_share_no_bin(spark, tmp_path):
+    """The registered query parts what op3 finds near, though its texts are not equal and have no source."""
+    rng = random.Random(4)
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(200)]
+    near = [" ".join(base), " ".join(base).upper(), "  ".join(base) + "\n", *(" ".join([*base[:k], "other", *base[k + 1 :]]) for k in (0, 60, 199))]
+    far = [" ".join(f"v{rng.randint(0, 9999)}" for _ in range(150)) for _ in range(12)]
+    rows = [(i, t, None) for i, t in enumerate(near + far)] + [(None, near[0], None), (0, far[0], None), (90, "", None), (91, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    component = defaultdict(set)
+    for r in simhash.near_duplicates(docs.where("doc_id < 18")).collect():
+        component[r.component_id].add(r.doc_id)
+    assert set(range(len(near))) <= max(component.values(), key=len)
+    out = queries.queries()["op4_best_fit_packing"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or -1, r.n_words) for r in out) == sorted((d or -1, len((t or "").split())) for d, t, _ in rows)
+    bins = [r.bin for r in out if r.n_words == 200]
+    assert len(bins) == len(near) + 1 and len(set(bins)) == len(bins)
+    assert any(len({r.doc_id for r in out if r.bin == b}) > 1 for b in bins)
