@@ -13,7 +13,9 @@ anchor words cannot, even all together.  So paragraphs without an anchor word
 are unknown without being scored; the rest are classified once for each distinct
 paragraph, by joining its grams to the weights (at most ``MOST_FEATURES`` rows).
 A prediction stands if at least 0.8 of the paragraph's 5-word shingles are in
-the family's notices.
+the family's notices, or if 0.8 of one notice's are in the paragraph and the
+lines around it, up to a blank one: a notice may have words beside it, and may
+be wrapped.
 
 Defined cases: null and blank texts have no paragraphs and give no rows;
 paragraphs with fewer than five words have one shingle; equal paragraphs get
@@ -96,6 +98,9 @@ SAMPLE_PARAGRAPHS = 4000
 COPIES = 12
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Characters on each side of a line that are compared with it: twice the longest notice, for what wrapping adds.
+REACH = 2 * max(len(t) for texts in NOTICES.values() for t in texts)
+REACH_LINES = 64
 _RARE = 0.005
 _SPLIT = r"[^\p{L}\p{N}./-]+"
 
@@ -125,6 +130,16 @@ def _features(words: list[str]) -> set[str]:
     return {g for n in (1, 2, 3) for g in _grams(words, n)}
 
 
+def _block(lines: Column, at: Column) -> Column:
+    """Line ``at`` (from 0) of an array with the lines around it, up to a blank one and within ``REACH``."""
+    begin = F.greatest(at - REACH_LINES, F.lit(0))
+    before = F.concat_ws("\n", F.slice(lines, begin + 1, at - begin), F.lit(""))
+    after = F.concat_ws("\n", F.lit(""), F.slice(lines, at + 2, REACH_LINES))
+    blank = r"(?<=\n)[^\S\n]*\n"
+    near = F.substring(F.element_at(F.split(F.concat(F.lit("\n"), before), blank), -1), -REACH, REACH)
+    return F.concat(near, F.element_at(lines, at + 1), F.substring(F.get(F.split(F.concat(after, F.lit("\n")), blank), F.lit(0)), 1, REACH))
+
+
 @dataclass(frozen=True)
 class Model:
     features: list[str]
@@ -231,12 +246,16 @@ def scan(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     model, common = train(docs)
     anchors = r"(?iu)(?<![\p{L}\p{N}])(" + "|".join(re.escape(a) for a in model.anchors(common)) + r")(?![\p{L}\p{N}])"
-    found = docs.select("doc_id", "text").where(F.col("text").rlike(anchors)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(F.col("line").rlike(anchors))
+    lines = docs.select("doc_id", "text").where(F.col("text").rlike(anchors)).select("doc_id", F.split("text", "\n").alias("lines"))
+    each = F.transform("lines", lambda line, i: F.when(line.rlike(anchors), F.struct(i.alias("paragraph"), line.alias("line"), _block(F.col("lines"), i).alias("block"))))
+    found = lines.select("doc_id", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("doc_id", "x.*")
     found = written(found, "licence-lines")
     words = found.select("line").distinct().select("line", tokens(F.col("line")).alias("words"))
     # both tables below are made from the model and the notices: a stated number of rows
     names = [f"w{k}" for k in range(len(FAMILIES))]
     weights = F.broadcast(spark.createDataFrame([(f, *row) for f, row in zip(model.features, model.weights.tolist(), strict=True)], "gram string, " + ", ".join(f"{n} double" for n in names)))
+    parts = [(family, k, len(g), shingle) for family, texts in NOTICES.items() for k, t in enumerate(texts) for g in [set(_grams(_tokens(t), SHINGLE))] for shingle in sorted(g)]
+    parts = F.broadcast(spark.createDataFrame(parts, "family string, notice int, n int, shingle string"))
     notices = {(family, g) for family, texts in NOTICES.items() for t in texts for w in [_tokens(t)] for g in _grams(w, min(SHINGLE, len(w)))}
     notices = F.broadcast(spark.createDataFrame(sorted(notices), "family string, shingle string"))
     each = words.select("line", F.explode(F.array_distinct(F.concat(*[grams(F.col("words"), n) for n in (1, 2, 3)]))).alias("gram"))
@@ -249,6 +268,10 @@ def scan(docs: DataFrame) -> DataFrame:
     shingle = F.when(F.size("words") >= SHINGLE, grams(F.col("words"), SHINGLE)).otherwise(F.array(F.concat_ws(" ", "words")))
     compared = judged.join(words, "line").select("line", "family", F.explode(shingle).alias("shingle")).join(notices.withColumn("known", F.lit(1.0)), ["family", "shingle"], "left")
     similar = compared.groupBy("line").agg(F.avg(F.coalesce("known", F.lit(0.0))).alias("similarity"))
-    verdict = written(judged.join(similar, "line"), "licence-verdicts")
-    out = found.join(verdict, "line").select("doc_id", "paragraph", F.col("line").alias("text"), "family", "probability", "similarity")
+    around = judged.join(found.select("line", "block").distinct(), "line").select("line", "family", "block", tokens(F.col("block")).alias("words"))
+    around = around.select("line", "family", "block", F.explode(F.array_distinct(grams(F.col("words"), SHINGLE))).alias("shingle")).join(parts, ["family", "shingle"])
+    held = around.groupBy("line", "block", "notice", "n").agg((F.count("*") / F.col("n")).alias("held")).groupBy("line", "block").agg(F.max("held").alias("held"))
+    verdict = found.select("line", "block").distinct().join(judged.join(similar, "line"), "line").join(held, ["line", "block"], "left")
+    verdict = written(verdict.withColumn("similarity", F.greatest("similarity", "held")), "licence-verdicts")
+    out = found.join(verdict, ["line", "block"]).select("doc_id", "paragraph", F.col("line").alias("text"), "family", "probability", "similarity")
     return out.withColumn("confirmed", F.col("similarity") >= SIMILARITY)

@@ -52,3 +52,25 @@ def test_empty_and_native(spark, docs):
     assert licenses.scan(docs.limit(0)).count() == 0
     plan = licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "MapInArrow" not in plan
+
+
+def test_notices_with_words_beside_them_and_wrapped(spark):
+    permission = licenses.NOTICES["mit"][3].split()
+    wrapped = "\n".join("# " + " ".join(permission[i : i + 8]) for i in range(0, len(permission), 8))
+    texts = {
+        1: "Foobar is licensed under the Apache License, Version 2.0.",
+        2: "This software is released under the MIT License.",
+        3: "intro words\n\n" + wrapped + "\n\nother words",
+        4: "Some parts that we wrote here were released under\n\nthe MIT License.",  # a blank line parts them
+    }
+    docs = spark.createDataFrame([*texts.items(), *[(1000 + i, t) for i, t, _ in BASE]], "doc_id long, text string")
+    rows = licenses.scan(docs).collect()
+    found = {(r.doc_id, r.family) for r in rows if r.confirmed}
+    assert found == {(1, "apache-2.0"), (2, "mit"), (3, "mit")}
+    assert all(r.text == texts[r.doc_id].split("\n")[r.paragraph] for r in rows if r.doc_id in texts)
+
+
+def test_block_ends_at_blank_lines(spark):
+    text = "a\n \nb\nc\nd\n\ne"
+    got = spark.createDataFrame([(text.split("\n"),)], "lines array<string>").select(F.transform("lines", lambda x, i: licenses._block(F.col("lines"), i)).alias("b")).first().b
+    assert [b.split() for line, b in zip(text.split("\n"), got, strict=True) if line.strip()] == [["a"], ["b", "c", "d"], ["b", "c", "d"], ["b", "c", "d"], ["e"]]
