@@ -42,5 +42,21 @@ def test_links_equal_those_of_sql(spark, tmp_path):
     assert got.where("n_links > 0").count() > 20
 
 
+@needs_data
+def test_latest_of_many_responses_equals_that_of_sql(spark, tmp_path):
+    """The plain pages have one response a URL: here many share one, and a third of them a hot one."""
+    urls = [f"http://www.a.org/{i % 25}?b=1&a={i % 2}" if i % 3 else "https://hot.org/x#y" for i in range(400)]
+    made = [(i, u, f"<p>{i % 40}</p>") for i, u in enumerate(urls)]
+    path = str(tmp_path / "pages.parquet")
+    spark.createDataFrame(made, "page_id long, url string, html string").write.parquet(path)
+    want = connected(pages=repr(path + "/*.parquet")).sql(queries.oracle_sql()["op7_warc_revisits"])
+    got = queries.queries()["op7_warc_revisits"](spark, str(tmp_path))
+    found = got.collect()
+    assert rows(found, range(len(got.columns))) == rows(want.fetchall(), [want.columns.index(c) for c in got.columns])
+    assert len(found) == 800 and sum(r.status == "resolved" for r in found) > 20
+    # the latest response is mostly not that of the revisit's own page
+    assert sum(r.response_id is not None and r.response_id // 4 != r.record_id // 4 for r in found) > 20
+
+
 def test_names():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
