@@ -16,22 +16,33 @@ def box(x1, y1, x2, y2) -> Column:
     return F.struct(*[F.lit(v).cast("double").alias(n) if not isinstance(v, Column) else v.cast("double").alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), (x1, y1, x2, y2), strict=True)])
 
 
-def _numbers(text: Column) -> Column:
-    parts = F.filter(F.transform(F.split(F.replace(text, F.lit(";"), F.lit(",")), ","), lambda x: F.trim(x)), lambda x: x != "")
-    return F.transform(parts, lambda x: x.try_cast("double"))
+def parts(text: Column) -> Column:
+    """The parts of a box's text between commas or semicolons."""
+    return F.split(F.translate(text, ";", ","), ",")
 
 
-def parse_box(text: Column) -> Column:
-    """A box from text; null for blank, malformed or degenerate ones."""
+def numbers(p: Column) -> Column:
+    """STRUCT<x1, y1, x2, y2> of four ``parts``, empty ones between them dropped; fields that are no number are null.
+
+    Four parts, the usual case, need no array function and stay in generated code.
+    """
+    full = F.filter(p, lambda x: F.trim(x) != "")
+    usual = box(*[F.get(p, F.lit(i)).try_cast("double") for i in range(4)])
+    odd = let(full, lambda q: F.when(F.size(q) == 4, box(*[F.get(q, F.lit(i)).try_cast("double") for i in range(4)])))
+    return F.when(F.size(p) == 4, usual).when(F.size(p) > 4, odd)
+
 
-    def made(n: Column) -> Column:
-        # NaN passes every comparison of the original but not Spark's, where it is the largest number
-        least = lambda a, b: F.isnan(a) | F.isnan(b) | (b > a)
-        good = (F.size(n) == 4) & F.forall(n, lambda x: x.isNotNull())
-        at = [F.get(n, F.lit(i)) for i in range(4)]
-        return F.when(good & least(at[0], at[2]) & least(at[1], at[3]), box(*at))
+def valid(b: Column) -> Column:
+    """``b`` if it has four numbers and an area."""
+    # NaN passes every comparison of the original but not Spark's, where it is the largest number
+    least = lambda lo, hi: F.isnan(lo) | F.isnan(hi) | (hi > lo)
+    given = b["x1"].isNotNull() & b["y1"].isNotNull() & b["x2"].isNotNull() & b["y2"].isNotNull()
+    return F.when(given & least(b["x1"], b["x2"]) & least(b["y1"], b["y2"]), b)
 
-    return F.when(F.trim(text) != "", let(_numbers(text), made))
+
+def parse_box(text: Column) -> Column:
+    """A box from text; null for blank, malformed or degenerate ones."""
+    return let(numbers(parts(text)), valid)
 
 
 def parse_box_strict(text: Column) -> Column:

@@ -1,9 +1,7 @@
 """Nearest-prototype classification by cosine, for one split or for many episodes at once.
 
-Episodes are never looped over.  ``cos(q, mean(s)) = mean(q . s) / (|q| * |mean(s)|)``
-and ``|mean(s)|^2 = mean(s . s')``, so one table of dot products (``gram``) turns
-every episode, setting and weight into joins and averages of numbers; vectors
-are read once.
+Episodes are never looped over: prototypes of all episodes are one aggregate of
+the support, and their queries one join with them by episode.
 """
 
 from __future__ import annotations
@@ -57,12 +55,13 @@ def fuse_scores(whole: DataFrame, region: DataFrame, keys: list[str], whole_weig
     return both.withColumn("score", a * F.col("whole_score") + b * F.col("region_score"))
 
 
-def gram(features: DataFrame, pairs: DataFrame | None = None, row: str = "row_idx", vector: str = "feature") -> DataFrame:
-    """(i, j, dot) for the pairs (i, j), i <= j, that any episode asks for (or all of a small split)."""
-    f = features.select(F.col(row).alias("i"), F.col(vector).alias("_a"))
-    g = features.select(F.col(row).alias("j"), F.col(vector).alias("_b"))
-    asked = pairs if pairs is not None else f.select("i").join(g.select("j"), F.col("i") <= F.col("j"))
-    return asked.join(f, "i").join(g, "j").select("i", "j", V.dot(F.col("_a"), F.col("_b")).alias("dot"))
+def episode_prototypes(episodes: DataFrame, features: DataFrame, keys: list[str], vector: str = "feature") -> DataFrame:
+    """(keys, class, class_pos, prototype) of every episode: a class has its few shots only, summed in the order of the support as a loop does it."""
+    support = episodes.where("role = 'support'").join(features.select("row_idx", F.col(vector).alias("_v")), "row_idx")
+    shots = support.groupBy(*keys, F.col("label").alias("class")).agg(F.min("pos").alias("class_pos"), F.array_sort(F.collect_list(F.struct("pos", "_v"))).alias("_s"))
+    first = F.transform(F.get("_s", F.lit(0))["_v"], lambda x: F.lit(0.0))
+    added = F.aggregate("_s", first, lambda acc, s: F.zip_with(acc, s["_v"], lambda x, y: x + y))
+    return shots.select(*keys, "class", "class_pos", V.let(F.transform(added, lambda x: x / F.size("_s")), V.l2_normalize).alias("prototype"))
 
 
 def episode_scores(episodes: DataFrame, features: DataFrame, keys: list[str], vector: str = "feature") -> DataFrame:
@@ -70,21 +69,9 @@ def episode_scores(episodes: DataFrame, features: DataFrame, keys: list[str], ve
 
     ``episodes`` has keys, role, pos, row_idx, label; ``class_pos`` is the class's first place in the support, which breaks ties.
     """
-    support = episodes.where("role = 'support'").select(*keys, F.col("label").alias("class"), F.col("row_idx").alias("s"), F.col("pos").alias("s_pos"))
-    query = episodes.where("role = 'query'").select(*keys, "pos", F.col("label").alias("y_true"), F.col("row_idx").alias("q"))
-    cross = query.join(support, keys).select(*keys, "pos", "y_true", "class", "q", "s", "s_pos")
-    inner = support.join(support.select(*keys, "class", F.col("s").alias("t")), [*keys, "class"]).select(*keys, "class", "s", "t")
-    low, high = (lambda a, b: F.least(a, b)), (lambda a, b: F.greatest(a, b))
-    asked = cross.select(low("q", "s").alias("i"), high("q", "s").alias("j")).unionByName(inner.select(low("s", "t").alias("i"), high("s", "t").alias("j"))).unionByName(query.select(F.col("q").alias("i"), F.col("q").alias("j"))).distinct()
-    dots = gram(features, asked, vector=vector)
-    d = lambda a, b: [low(a, b).alias("i"), high(a, b).alias("j")]
-    top = cross.select("*", *d("q", "s")).join(dots, ["i", "j"]).groupBy(*keys, "pos", "y_true", "q", "class").agg(F.avg("dot").alias("top"), F.min("s_pos").alias("class_pos"))
-    length = inner.select("*", *d("s", "t")).join(dots, ["i", "j"]).groupBy(*keys, "class").agg(F.avg("dot").alias("square"))
-    own = dots.where("i = j").select(F.col("i").alias("q"), F.col("dot").alias("own"))
-    out = top.join(length, [*keys, "class"]).join(own, "q")
-    size = lambda c: F.sqrt(F.greatest(F.col(c), F.lit(0.0)))
-    zero = (size("square") < V.EPSILON) | (size("own") < V.EPSILON)
-    return out.select(*keys, "pos", "y_true", "class", "class_pos", F.when(zero, 0.0).otherwise(F.col("top") / (size("own") * size("square"))).alias("score"))
+    protos = episode_prototypes(episodes, features, keys, vector)
+    query = episodes.where("role = 'query'").join(features.select("row_idx", V.l2_normalize(F.col(vector)).alias("_q")), "row_idx").select(*keys, "pos", F.col("label").alias("y_true"), "_q")
+    return query.join(protos, keys).select(*keys, "pos", "y_true", "class", "class_pos", V.dot(F.col("_q"), F.col("prototype")).alias("score"))
 
 
 def weight_grid(whole: DataFrame, region: DataFrame, weights: list[float], keys: list[str]) -> DataFrame:

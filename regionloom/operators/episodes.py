@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import shared
+
 SETTING_STRIDE = 100_000
 EPISODES = "setting_idx int, episode_idx int, seed bigint, role string, pos int, class_pos int, row_idx bigint, label string"
 #: Rows of an image manifest that a driver may hold as (label, row_idx).
@@ -85,7 +87,8 @@ def sample(records: DataFrame, settings: list[tuple[int, int]], episodes: int, q
 
     wanted = seeds(records.sparkSession, settings, episodes, seed)
     parts = min(max(1, len(settings) * episodes // 16), int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return wanted.repartition(parts).mapInPandas(made, EPISODES)
+    # drawn once, whatever reads it how often
+    return shared.written(wanted.repartition(parts).mapInPandas(made, EPISODES), "episodes")
 
 
 def _order(*parts: Column) -> Column:
@@ -96,14 +99,17 @@ def sample_hashed(records: DataFrame, settings: list[tuple[int, int]], episodes:
     """Episodes drawn by SHA-256 order of (seed, label) and (seed, row): (setting_idx, episode_idx, seed, role, row_idx, label)."""
     wanted = seeds(records.sparkSession, settings, episodes, seed)
     counts = records.groupBy("label").agg(F.count("*").alias("n"))
-    labels = wanted.join(counts, F.col("n") >= F.col("k_shot") + queries)
+    # labels that each setting can use: an equi-join with its episodes follows
+    each = F.array(*[F.struct(F.lit(i).alias("setting_idx"), F.lit(k + queries).alias("needed")) for i, (_, k) in enumerate(settings)])
+    eligible = counts.select("label", "n", F.explode(each).alias("s")).where("n >= s.needed").select("label", "s.setting_idx")
+    labels = wanted.join(eligible, "setting_idx")
     first = Window.partitionBy("setting_idx", "episode_idx").orderBy(_order(F.col("seed"), F.col("label")))
-    chosen = labels.withColumn("_c", F.row_number().over(first)).where(F.col("_c") <= F.col("n_way")).drop("n", "_c")
+    chosen = labels.withColumn("_c", F.row_number().over(first)).where(F.col("_c") <= F.col("n_way")).drop("_c")
     rows = chosen.join(records.select("row_idx", "label"), "label")
     within = Window.partitionBy("setting_idx", "episode_idx", "label").orderBy(_order(F.col("seed"), F.col("row_idx")))
     rows = rows.withColumn("_r", F.row_number().over(within)).where(F.col("_r") <= F.col("k_shot") + queries)
     role = F.when(F.col("_r") <= F.col("k_shot"), "support").otherwise("query")
-    return rows.select("setting_idx", "episode_idx", "seed", role.alias("role"), "row_idx", "label")
+    return shared.written(rows.select("setting_idx", "episode_idx", "seed", role.alias("role"), "row_idx", "label"), "episodes")
 
 
 def split_count(total: Column, ratio: float) -> Column:
@@ -168,16 +174,29 @@ def parse_label_set(text: str) -> set[str] | None:
 
 
 def select_memory(records: DataFrame, split: str = "train", labels: set[str] | None = None, most: int = 200, seed: int = 42) -> DataFrame:
-    """Rows for a memory bank: shuffled and cut only if there are more than ``most``; in path order."""
+    """Rows for a memory bank: shuffled and cut only if there are more than ``most``; in path order.
+
+    The shuffle replays the plain sampler's calls over row numbers on the driver; ``select_memory_hashed`` takes tables of any size.
+    """
     found = records if split == "all" else records.where(F.col("split") == split)
     found = found.where(matches_labels(labels))
-    if most > 0 and found.count() > most:
+    if most > 0 and (n := found.count()) > most:
+        if n > MOST_ROWS:
+            raise ValueError(f"{n} rows: select_memory_hashed chooses from tables of any size")
         rows = [r.row_idx for r in found.select("row_idx").orderBy("row_idx").collect()]
         random.Random(seed).shuffle(rows)
         found = found.join(records.sparkSession.createDataFrame([(r,) for r in rows[:most]], "row_idx bigint"), "row_idx", "left_semi")
     return found.orderBy("image_path")
 
 
+def select_memory_hashed(records: DataFrame, split: str = "train", labels: set[str] | None = None, most: int = 200, seed: int = 42) -> DataFrame:
+    """The same, the first ``most`` rows in SHA-256 order of (seed, row)."""
+    found = records if split == "all" else records.where(F.col("split") == split)
+    found = found.where(matches_labels(labels))
+    chosen = found.orderBy(_order(F.lit(seed), F.col("row_idx")), "row_idx").limit(most) if most > 0 else found
+    return chosen.orderBy("image_path")
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _hash_vector(keys: pd.Series, dims: pd.Series) -> pd.Series:
     out = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import boxes as B
 from . import merge
 from . import metrics as M
@@ -20,7 +21,15 @@ def compare(truth: DataFrame, pseudo: DataFrame, order: str = "row_idx") -> Data
     columns = [c for c in pseudo.columns if c not in ("image_path", order)]
     joined = merge.lookup(truth, pseudo, "image_path", columns, normalize_table=True, order=order)
     other = "found_bbox" if "bbox" in truth.columns else "bbox"
-    return measure(joined.withColumn("gt_box", B.parse_box(F.col("bbox"))).withColumn("pseudo_box", B.parse_box(F.col(other))), "found")
+    return measure(parsed(joined, gt_box="bbox", pseudo_box=other), "found")
+
+
+def parsed(rows: DataFrame, **boxes: str) -> DataFrame:
+    """``rows`` with a box for each text column; generated rows are computed once, where a projection would be repeated in each use."""
+    once = lambda df, name, of: df.select("*", F.explode(F.array(F.struct(*[of(n).alias(n) for n in boxes]))).alias(name))
+    split = once(rows, "_parts", lambda n: B.parts(F.col(boxes[n])))
+    found = once(split, "_numbers", lambda n: B.numbers(F.col(f"_parts.{n}")))
+    return found.select(*rows.columns, *[B.valid(F.col(f"_numbers.{n}")).alias(n) for n in boxes])
 
 
 def measure(rows: DataFrame, found: str | None = None) -> DataFrame:
@@ -33,16 +42,30 @@ def measure(rows: DataFrame, found: str | None = None) -> DataFrame:
     return rows.withColumns({"iou": F.when(ok, B.iou(g, p)), "gt_area": F.when(ok, B.area(g)), "pseudo_area": F.when(ok, B.area(p)), "area_ratio": F.when(ok, B.area_ratio(p, g))})
 
 
+_SHARES = {"median": 0.5, "p25": 0.25, "p75": 0.75}
+
+
 def summarize(measured: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Counts by status, the eight-number summaries of iou and finite area ratio, and recall at IoU, one row for each key."""
     finite = F.when(F.abs("area_ratio") < float("inf"), F.col("area_ratio"))
-    rows = measured.withColumn("_ratio", finite)
+    rows = shared.written(measured.select(*keys, "status", "iou", finite.alias("_ratio")), "measures")
     counts = [F.count("*").alias("gt_rows"), *[F.count_if(F.col("status") == s).alias(f"{s}_rows") for s in STATUSES]]
-    return rows.groupBy(*keys).agg(*counts, *M.summary("iou", "iou_"), *M.summary("_ratio", "area_ratio_"), *M.recalls("iou"))
+    out = rows.groupBy(*keys).agg(*counts, *M.summary("iou", "iou_"), *M.summary("_ratio", "area_ratio_"), *M.recalls("iou"))
+    shares = M.percentiles(rows, list(keys), {"iou": {f"iou_{k}": q for k, q in _SHARES.items()}, "_ratio": {f"area_ratio_{k}": q for k, q in _SHARES.items()}})
+    if not keys:
+        return out.join(shares, F.lit(True), "left")
+    other = shares.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & out[k].eqNullSafe(other[f"_of_{k}"])
+    return out.join(other, on, "left").drop(*[f"_of_{k}" for k in keys])
 
 
 def worst(measured: DataFrame, k: int = 10, keys: list[str] = (), order: str = "row_idx") -> DataFrame:
-    """The k matched rows of least IoU, ties in row order."""
+    """The k matched rows of least IoU, ties in row order; with keys also their ``rank``.
+
+    The limit on the rank lets each task send on k rows a key at most (the plan's WindowGroupLimit).
+    """
     rows = measured.where("status = 'matched'")
     if not keys:
         return rows.orderBy("iou", order).limit(k)

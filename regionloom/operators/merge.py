@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grids as G
 from ..functions import paths as P
+from ..functions import vectors as V
 
 POLICIES = ("error", "first", "last", "max")
 SIZES = ("image_width", "image_height", "heatmap_width", "heatmap_height")
@@ -17,11 +18,11 @@ def _failed(message: str, key: str, kind: str) -> Column:
 
 
 def pixel_max(heatmaps: DataFrame, keys: list[str], value: str = "heatmap") -> DataFrame:
-    """(keys, heatmap): the greatest value of each cell, aggregated cell by cell before the shuffle."""
-    rows = heatmaps.select(*keys, F.posexplode(value).alias("_y", "_row"))
-    cells = rows.select(*keys, "_y", F.posexplode("_row").alias("_x", "_v")).groupBy(*keys, "_y", "_x").agg(F.max("_v").alias("_v"))
-    lines = cells.groupBy(*keys, "_y").agg(F.transform(F.array_sort(F.collect_list(F.struct("_x", "_v"))), lambda s: s["_v"]).alias("_row"))
-    return lines.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_y", "_row"))), lambda s: s["_row"]).alias(value))
+    """(keys, heatmap): the greatest value of each cell of equally large heatmaps, aggregated cell by cell before the shuffle."""
+    cells = heatmaps.select(*keys, G.width(F.col(value)).alias("_w"), F.posexplode(F.flatten(value)).alias("_at", "_v"))
+    cells = cells.groupBy(*keys, "_at").agg(F.max("_v").alias("_v"), F.max("_w").alias("_w"))
+    flat = cells.groupBy(*keys).agg(F.max("_w").alias("_w"), F.transform(F.array_sort(F.collect_list(F.struct("_at", "_v"))), lambda s: s["_v"]).alias("_flat"))
+    return flat.select(*keys, V.rows_of(F.col("_flat"), F.col("_w")).alias(value))
 
 
 def merge_duplicates(heatmaps: DataFrame, policy: str = "max", key: str = "image_path", order: str = "row_idx") -> DataFrame:
@@ -34,7 +35,7 @@ def merge_duplicates(heatmaps: DataFrame, policy: str = "max", key: str = "image
     if policy not in POLICIES:
         raise ValueError(f"unknown duplicate policy: {policy}")
     columns = [c for c in heatmaps.columns if c not in (key, order)]
-    payload = [c for c in columns if policy != "max" or c != "heatmap"]
+    payload = columns
     pick = F.max_by if policy == "last" else F.min_by
     value = F.struct(*payload) if payload else F.struct(order)
     aggregates = [pick(value, order).alias("_v"), F.count("*").alias("duplicate_count"), F.min(order).alias("first_row")]
@@ -56,10 +57,12 @@ def merge_duplicates(heatmaps: DataFrame, policy: str = "max", key: str = "image
             same = F.col(f"_{c}_least").eqNullSafe(F.col(f"_{c}_most"))
             fields[c] = F.when(same, F.col(f"_{c}")).otherwise(_failed(f"conflicting {c}", key, heatmaps.schema[c].dataType.simpleString()))
         if shape:
-            merged = pixel_max(heatmaps, [key])
+            # only repeated keys have cells to compare
+            again = out.where("duplicate_count > 1").select(key)
+            merged = pixel_max(heatmaps.join(again, key, "left_semi").where(F.col("heatmap").isNotNull()), [key]).withColumnRenamed("heatmap", "_merged")
             same = (F.col("_least") == F.col("_most")) & (F.col("_least.a") == F.col("_least.b")) & (F.col("_least.h") > 0)
-            out = out.join(merged, key)
-            fields["heatmap"] = F.when(same, F.col("heatmap")).otherwise(_failed("unequal heatmap sizes", key, G.GRID))
+            out = out.join(merged, key, "left")
+            fields["heatmap"] = F.when(same, F.coalesce("_merged", "_v.heatmap")).otherwise(_failed("unequal heatmap sizes, or no heatmap", key, G.GRID))
     return out.select(key, *[fields[c].alias(c) for c in columns], "duplicate_count", "first_row")
 
 
@@ -119,8 +122,6 @@ def fill_missing(joined: DataFrame, columns: list[str], policy: str, found: str
 
 def fuse_caches(whole: DataFrame, region: DataFrame, method: str = "concat", alpha: float = 0.5, normalize_input: bool = False, normalize_output: bool = False) -> DataFrame:
     """The whole cache's payload with fused features, in path order; both caches must have the same paths."""
-    from ..functions import vectors as V
-
     require_same_keys(whole, region)
     r = region.select("image_path", F.col("feature").alias("_f"), *[F.col(c).alias(f"_{c}") for c in ("region", "crop_box") if c in region.columns])
     fused = V.fuse(F.col("feature"), F.col("_f"), method, alpha, normalize_input, normalize_output)

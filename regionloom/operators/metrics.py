@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shared
+
 
 def confusion(predictions: DataFrame, keys: list[str] = (), order: str | None = None) -> DataFrame:
     """(keys, y_true, y_pred, count), and ``first_pos`` if ``order`` names a position column."""
@@ -68,13 +70,45 @@ def mean_stdev(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
 
 
 def summary(value: str, prefix: str = "") -> list:
-    """Aggregates: count, mean, median, stdev, min, p25, p75, max; all but the count null for no rows."""
-    q = lambda p: F.percentile(value, F.lit(p))
+    """Aggregates: count, mean, stdev, min, max; all but the count null for no rows."""
     n = F.count(value)
-    named = {"count": n, "mean": F.avg(value), "median": q(0.5), "stdev": F.when(n > 0, F.coalesce(F.stddev_samp(value), F.lit(0.0))), "min": F.min(value), "p25": q(0.25), "p75": q(0.75), "max": F.max(value)}
+    named = {"count": n, "mean": F.avg(value), "stdev": F.when(n > 0, F.coalesce(F.stddev_samp(value), F.lit(0.0))), "min": F.min(value), "max": F.max(value)}
     return [c.alias(prefix + k) for k, c in named.items()]
 
 
+def percentiles(rows: DataFrame, keys: list[str], values: dict[str, dict[str, float]]) -> DataFrame:
+    """(keys, names): exact interpolated percentiles of each measure, ``values`` being measure -> {name: share}.
+
+    No task holds a whole measure: equal values are one row with a count, combined before the shuffle; these are
+    sorted by range over all tasks; counts of the sorted parts say in which part a rank lies, and only those parts
+    are ranked value by value.  Null and NaN values count for nothing; a null key is a key like any other.
+    """
+    each = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("_m"), F.col(m).cast("double").alias("_v")) for m in values])).alias("_e")).select(*keys, "_e.*")
+    # a group's number stands for its keys in every join
+    each = each.where(F.col("_v").isNotNull() & ~F.isnan("_v")).withColumn("_v", F.col("_v") + F.lit(0.0))
+    each = each.groupBy(F.struct(*[F.col(k) for k in keys] or [F.lit(0).alias("_")]).alias("_k"), "_m", "_v").agg(F.count("*").alias("_n"))
+    table = shared.written(each.orderBy("_k", "_m", "_v"), "measure-values")
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
+    table = table.select(F.to_json("_k", {"ignoreNullFields": "false"}).alias("_g"), "_k", "_m", "_v", "_n", part.alias("_part"))
+    # a row for each group and part that it lies in
+    parts = table.groupBy("_g", "_m", "_part").agg(F.sum("_n").alias("_in"), F.first("_k").alias("_k"))
+    group = Window.partitionBy("_g", "_m")
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_in").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_in").over(group))
+    wanted = F.array(*[F.struct(F.lit(m).alias("of"), F.lit(name).alias("name"), F.lit(float(q)).alias("q")) for m, some in values.items() for name, q in some.items()])
+    at = F.col("_q.q") * (F.col("_all") - 1)
+    # the two ranks that a share lies between, with their weights
+    two = F.array(F.struct(F.floor(at).alias("r"), (1 - (at - F.floor(at))).alias("w")), F.struct(F.ceil(at).alias("r"), (at - F.floor(at)).alias("w")))
+    ranks = parts.select("*", F.explode(wanted).alias("_q")).where("_q.of = _m").select("_g", "_m", "_k", "_part", "_before", "_in", F.col("_q.name").alias("_name"), F.explode(two).alias("_r"))
+    ranks = ranks.where((F.col("_r.w") > 0) & (F.col("_r.r") >= F.col("_before")) & (F.col("_r.r") < F.col("_before") + F.col("_in")))
+    ranks = shared.written(ranks.select("_g", "_m", "_k", "_part", "_before", "_name", F.col("_r.r").alias("_rank"), F.col("_r.w").alias("_w")), "measure-ranks")
+    few = ranks.select("_g", "_m", "_part", "_before").distinct()
+    hit = table.drop("_k").join(few, ["_g", "_m", "_part"])
+    hit = hit.withColumn("_end", F.col("_before") + F.sum("_n").over(Window.partitionBy("_g", "_m", "_part").orderBy("_v"))).drop("_before")
+    found = ranks.join(hit, ["_g", "_m", "_part"]).where((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_n")))
+    out = found.groupBy("_g").agg(F.first("_k").alias("_k"), *[F.sum(F.when((F.col("_m") == m) & (F.col("_name") == name), F.col("_v") * F.col("_w"))).alias(name) for m, some in values.items() for name in some])
+    return out.select(*[F.col(f"_k.{k}").alias(k) for k in keys], *[name for some in values.values() for name in some])
+
+
 def recalls(value: str, at=(0.10, 0.25, 0.50, 0.75), prefix: str = "recall_") -> list:
     """Aggregates: the share of rows at or above each threshold; null for no rows."""
     return [F.avg((F.col(value) >= t).cast("double")).alias(f"{prefix}{int(round(t * 100)):02d}") for t in at]

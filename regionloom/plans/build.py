@@ -47,12 +47,11 @@ def image_manifest(spark: SparkSession, root: str, val_ratio: float = 0.15, test
         F.coalesce(B.format_box("box"), F.lit("")).alias("bbox"), F.coalesce("polygon_count", F.lit(0)).alias("polygon_count"), "relative",
     )
     # the generator consumes images in path order
-    rows = readers.with_row_index(rows.orderBy("relative"))
+    rows = readers.in_order(rows, "relative")
     given, open_ = rows.where("split is not null"), rows.where("split is null")
     if not open_.isEmpty():
         given = given.unionByName(episodes.assign_splits(open_, val_ratio, test_ratio, seed).select(given.columns))
-    ordered = given.drop("row_idx", "relative").orderBy(*MANIFEST_ORDER)
-    return readers.with_row_index(ordered)
+    return readers.in_order(given.drop("row_idx", "relative"), *MANIFEST_ORDER)
 
 
 def _joined(manifest: DataFrame, heatmaps: DataFrame, missing: str) -> DataFrame:

@@ -101,7 +101,7 @@ def box_sweep(manifest: DataFrame, heatmaps: DataFrame, percentiles=(0.85, 0.90,
     table = regions.component_table(found, list(percentiles), ["row_idx"], upsample)
     chosen = regions.choose(table, ["row_idx"], settings).select("row_idx", "setting_idx", "box", "score", "area")
     grid = rows.drop("heatmap", "image_width", "image_height").join(settings)
-    joined = grid.join(chosen, ["row_idx", "setting_idx"], "left").withColumn("gt_box", B.parse_box(F.col("bbox"))).withColumnRenamed("box", "pseudo_box")
+    joined = iou.parsed(grid.join(chosen, ["row_idx", "setting_idx"], "left").withColumnRenamed("box", "pseudo_box"), gt_box="bbox")
     measured = iou.measure(joined, "found")
     keys = ["setting_idx", "percentile", "min_area_ratio", "component"]
     return iou.rank(iou.summarize(measured, keys)), measured

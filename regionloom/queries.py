@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shared
 from .functions import boxes as B
 from .functions import grids as G
 from .functions import paths as P
@@ -377,9 +378,8 @@ m AS (SELECT *, CASE WHEN status = 'matched' THEN shared / (ga + pa - shared) EN
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(_BOXES.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
-    rows = rows.withColumn("found", F.col("other").isNotNull()).withColumn("gt_box", B.parse_box(F.col("bbox"))).withColumn("pseudo_box", B.parse_box(F.col("other")))
-    return iou.measure(rows, "found")
+    rows = spark.sql(_BOXES.replace("FROM lineitem", "FROM {lineitem}"), lineitem=shared.spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")))
+    return iou.measure(iou.parsed(rows.withColumn("found", F.col("other").isNotNull()), gt_box="bbox", pseudo_box="other"), "found")
 
 
 @query("WITH " + _IOU + "SELECT row_idx, gt[1] AS x1, gt[2] AS y1, gt[3] AS x2, gt[4] AS y2 FROM m")
@@ -598,7 +598,7 @@ WITH c AS (SELECT event_id AS row_idx, user_id % 50 AS img, CASE WHEN event_id %
 d AS (SELECT *, CASE WHEN error IS NULL AND row_number() OVER (PARTITION BY img, error IS NULL ORDER BY row_idx) > 1 THEN 'duplicate_image_path' ELSE error END AS e FROM c WHERE error IS DISTINCT FROM 'blank')
 SELECT coalesce(e, 'ok') AS error, count(*) AS n, min(row_idx) AS first_row FROM d GROUP BY ALL""")
 def heatmap_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.sql(_LINES, events=table(spark, sf_dir, "events")).select("row_idx", "value")
+    lines = spark.sql(_LINES, events=shared.spread(table(spark, sf_dir, "events").select("event_id", "user_id"))).select("row_idx", "value")
     checked = validate.with_duplicates(validate.report(lines), "error")
     return checked.groupBy(F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count("*").alias("n"), F.min("row_idx").alias("first_row"))
 
