@@ -5,67 +5,21 @@ from __future__ import annotations
 import contextlib
 import math
 import sys
-import tempfile
 import types
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import clear, hadoop, release, remove, scratch, shared_dir, written, written_at
+
+__all__ = ["clear", "hadoop", "partitions_for", "release", "remove", "scratch", "settings", "shared_dir", "uniform", "word_count", "worker_cache", "written", "written_at"]
+
 #: Words are runs of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local session without the setting gets a temporary folder instead.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="regionloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-_made: list[str] = []
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
-    path = scratch(df.sparkSession, tag)
-    schema = df.schema
-    df.write.parquet(path)
-    _made.append(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a path of whatever store it names."""
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
-
-
-def remove_last(spark: SparkSession, keep: int = 0) -> None:
-    """Deletes the table that was written last but ``keep``, once nothing reads it any more."""
-    remove(spark, _made.pop(-1 - keep))
-
-
-def clear(spark: SparkSession) -> None:
-    """Deletes all tables that this process has written to the shared folder; results that read them end with it."""
-    while _made:
-        remove(spark, _made.pop())
-
-
 @contextlib.contextmanager
 def settings(spark: SparkSession, **values: str):
     """Session settings (dots as two underscores) for what runs inside; as they were after."""

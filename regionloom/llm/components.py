@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove_last, written
+from .common import release, written_at
 
 
 def _least(links: DataFrame, by: str, of: str, floor: bool) -> DataFrame:
@@ -36,12 +36,13 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(a, b) long -> (node, root) for every node of a link; root is the least node that it reaches."""
     one, other = F.least("a", "b"), F.greatest("a", "b")
-    now = written(links.where("a <> b").select(other.alias("a"), one.alias("b")).distinct(), "links")
+    now, path = written_at(links.where("a <> b").select(other.alias("a"), one.alias("b")).distinct(), "links")
     mark = None
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         mark = seen
-        now = written(_small_star(_large_star(now)), "links")
-        remove_last(now.sparkSession, keep=1)
+        before = path
+        now, path = written_at(_small_star(_large_star(now)), "links")
+        release(now.sparkSession, before)

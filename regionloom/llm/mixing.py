@@ -9,8 +9,9 @@
    a hashed order until the words are reached.  In the block where they are
    reached, documents are taken from the longest down while they fit.
 3. Tree: the root holds how many blocks each source gives.  A node splits its
-   counts between its two halves of the shards by drawing from an urn without
-   replacement, so every level keeps all quotas exactly.  A leaf is a shard.
+   counts between its two halves of the shards by hypergeometric draws, one for
+   each source from what the others left, so every level keeps all quotas
+   exactly.  A draw costs the same whatever its counts.  A leaf is a shard.
 4. A shard takes the next blocks in each source's permuted order (disjoint by
    construction) and is shuffled locally.
 
@@ -89,37 +90,83 @@ def _running(df: DataFrame, key: Column, n: Column, value: Column) -> DataFrame:
     return out.drop("_key", "_value", "_range", "_n0", "_s0")
 
 
+#: Draws of up to so many items go item by item; larger ones by rejection, in at most ``_TRIES`` tries.
+_FEW = 24
+_TRIES = 48
+#: Constants of the ratio-of-uniforms hat (Stadlober 1989): 2 sqrt(2 / e) and 3 - 2 sqrt(3 / e).
+_HAT = (2 * math.sqrt(2 / math.e), 3 - 2 * math.sqrt(3 / math.e))
+#: ln(n!) for n < 16, where the series below is not exact enough.
+_LN_FACTORIAL = ", ".join(f"{math.lgamma(n + 1)!r}D" for n in range(16))
+
+
+def _bound(value: str, name: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` bound to ``value`` once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _ln_factorial(n: str) -> str:
+    """SQL: ln(n!) of a whole number as double, by Stirling's series."""
+    series = f"z_ * ln(z_) - z_ + 0.5D * ln({2 * math.pi!r}D * z_) + 1D / (12 * z_) - 1D / (360 * z_ * z_ * z_) + 1D / (1260 * z_ * z_ * z_ * z_ * z_)"
+    return _bound(n, "z_", f"CASE WHEN z_ < 16 THEN element_at(array({_LN_FACTORIAL}), CAST(least(greatest(z_, 0D), 15D) AS INT) + 1) ELSE {series} END")
+
+
+def _chance(*parts: str) -> str:
+    """SQL: as ``common.uniform``."""
+    return f"(CAST(shiftrightunsigned(xxhash64({', '.join(parts)}), 11) AS DOUBLE) / {float(1 << 53)!r}D)"
+
+
+def hypergeometric(total: str, good: str, drawn: str, *name: str) -> str:
+    """SQL: how many of ``drawn`` items, taken without replacement from ``total``, are among the ``good``; ``name`` names the draw.
+
+    The cost does not grow with the counts: the least of drawn, good and what is left of either is drawn item by item
+    if it is small; else a ratio-of-uniforms hat over the distribution is thrown at, three tries in four hitting.
+    """
+    # the four forms of one draw: (items, hits among m, offset, sign)
+    form = lambda items, hits, offset, sign: f"named_struct('c', {items}, 'h', {hits}, 'o', {offset}, 's', {sign}L)"
+    forms = f"CASE WHEN v.k <= least(v.n, v.m - v.k, v.m - v.n) THEN {form('v.k', 'v.n', '0L', 1)} WHEN v.n <= least(v.m - v.k, v.m - v.n) THEN {form('v.n', 'v.k', '0L', 1)} WHEN v.m - v.k <= v.m - v.n THEN {form('v.m - v.k', 'v.n', 'v.n', -1)} ELSE {form('v.m - v.n', 'v.k', 'v.k', -1)} END"
+    hit = f"CASE WHEN {_chance(*name, 'i')} * a.m < a.n THEN 1L ELSE 0L END"
+    step = _bound(hit, "t", "named_struct('m', a.m - 1, 'n', a.n - t, 'x', a.x + t)")
+    items = "CASE WHEN f.c > 0 THEN sequence(1L, f.c) ELSE CAST(array() AS ARRAY<BIGINT>) END"
+    by_item = _bound(forms, "f", f"f.o + f.s * aggregate({items}, named_struct('m', v.m, 'n', f.h, 'x', 0L), (a, i) -> {step}, a -> a.x)")
+    # of both kinds the fewer (g), and of the sample and the rest the smaller (k): the others follow
+    weight = lambda z: " + ".join(_ln_factorial(n) for n in (z, f"w.g - {z}", f"w.k - {z}", f"w.m - w.g - w.k + {z}"))
+    fewer = "named_struct('m', CAST(v.m AS DOUBLE), 'g', CAST(least(v.n, v.m - v.n) AS DOUBLE), 'k', CAST(least(v.k, v.m - v.k) AS DOUBLE))"
+    shape = "named_struct('m', e.m, 'g', e.g, 'k', e.k, 'center', e.k * e.g / e.m + 0.5D, 'width', sqrt((e.m - e.k) * e.k * (e.g / e.m) * (1 - e.g / e.m) / (e.m - 1) + 0.5D), 'mode', CAST(floor((e.k + 1) * (e.g + 1) / (e.m + 2)) AS DOUBLE))"
+    hat = f"named_struct('m', w.m, 'g', w.g, 'k', w.k, 'mode', w.mode, 'center', w.center, 'scale', {_HAT[0]!r}D * w.width + {_HAT[1]!r}D, 'end', least(least(w.k, w.g) + 1, CAST(floor(w.center + 16 * w.width) AS DOUBLE)), 'top', {weight('w.mode')})"
+    pair = f"named_struct('u', greatest({_chance(*name, 'j', '1')}, 1e-300D), 'p', {_chance(*name, 'j', '2')})"
+    accept = _bound("CAST(floor(y) AS DOUBLE)", "q", f"CASE WHEN 2 * ln(x.u) <= w.top - ({weight('q')}) THEN q END")
+    place = _bound("w.center + w.scale * (x.p - 0.5D) / x.u", "y", f"CASE WHEN y >= 0 AND y < w.end THEN {accept} END")
+    tries = f"coalesce(aggregate(sequence(1, {_TRIES}), CAST(NULL AS DOUBLE), (found, j) -> CASE WHEN found IS NOT NULL THEN found ELSE {_bound(pair, 'x', place)} END), w.mode)"
+    thrown = _bound(_bound(_bound(_bound(fewer, "e", shape), "w", hat), "w", f"CAST({tries} AS BIGINT)"), "z", "CASE WHEN v.n > v.m - v.n THEN least(v.k, v.m - v.k) - z ELSE z END")
+    thrown = _bound(thrown, "z", "CASE WHEN v.k > v.m - v.k THEN v.n - z ELSE z END")
+    return _bound(f"named_struct('m', {total}, 'n', {good}, 'k', {drawn})", "v", f"CASE WHEN least(v.k, v.n, v.m - v.k, v.m - v.n) <= {_FEW} THEN {by_item} ELSE {thrown} END")
+
+
 def split_quotas(quotas: DataFrame, n_shards: int, seed: int) -> DataFrame:
-    """(sid, k blocks) -> (shard, sid, k): the splitting tree.  Every sum over shards is the quota, shard totals differ by one at most."""
+    """(sid, k blocks) -> (shard, sid, k): the splitting tree.  Every sum over shards is the quota, shard totals differ by one at most.
+
+    A node is one row with a count for each source; its draw costs the same whatever the counts, so the root too is a small task.
+    """
     total = F.aggregate("parts", F.lit(0).cast("long"), lambda acc, p: acc + p["k"])
     nodes = quotas.where("k > 0").groupBy().agg(F.sort_array(F.collect_list(F.struct("sid", F.col("k").cast("long").alias("k")))).alias("parts"))
     nodes = nodes.select(F.lit(0).alias("lo"), F.lit(n_shards).alias("hi"), total.alias("all"), "parts")
-    part = "array<struct<sid:int,k:bigint>>"
-    for depth in range(max(1, n_shards).bit_length() if n_shards > 1 else 0):
+    none = "CAST(array() AS ARRAY<STRUCT<sid: INT, k: BIGINT>>)"
+    mid = "CAST(floor((lo + hi) / 2) AS INT)"
+    room = f"CAST(floor(all * {mid} / {n_shards}) - floor(all * lo / {n_shards}) AS BIGINT)"
+    piece = lambda k: f"filter(array(named_struct('sid', p.sid, 'k', {k})), g -> g.k > 0)"
+    # the left half's share of a source's blocks: so many of its free places among all that are left
+    draw = _bound(hypergeometric("acc.m", "acc.n", "p.k", f"{seed}", "lo", "hi", "p.sid"), "d", f"named_struct('m', acc.m - p.k, 'n', acc.n - d, 'left', concat(acc.left, {piece('d')}), 'right', concat(acc.right, {piece('p.k - d')}))")
+    dealt = f"aggregate(parts, named_struct('m', aggregate(parts, 0L, (s, p) -> s + p.k), 'n', {room}, 'left', {none}, 'right', {none}), (acc, p) -> {draw})"
+    node = lambda lo, hi, parts: f"named_struct('lo', {lo}, 'hi', {hi}, 'all', all, 'parts', {parts})"
+    halves = _bound(dealt, "h", f"array({node('lo', mid, 'h.left')}, {node(mid, 'hi', 'h.right')})")
+    level = f"explode(CASE WHEN hi - lo > 1 THEN {halves} ELSE array({node('lo', 'hi', 'parts')}) END) AS v"
+    for depth in range((n_shards - 1).bit_length()):
+        if depth and depth % 3 == 0:
+            # a level's expression is not written out again in the next
+            nodes = written(nodes, "mix-nodes")
         if depth == 6:
             nodes = nodes.repartition("lo", "hi")
-        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        upto = lambda i: F.floor(F.col("all") * i / n_shards)
-        room = (upto(mid) - upto(F.col("lo"))).cast("long")
-
-        def draw(acc: Column, p: Column) -> Column:
-            """Gives each of the source's blocks to the left half with the chance of its free places among all that are left."""
-            state = lambda m, n, x: F.struct(m.alias("m"), n.alias("n"), x.alias("x"))
-
-            def one(a: Column, i: Column) -> Column:
-                hit = F.when(uniform(F.lit(seed), F.col("lo"), F.col("hi"), p["sid"], i) * a["m"] < a["n"], F.lit(1)).otherwise(F.lit(0)).cast("long")
-                return _let(hit, lambda t: state(a["m"] - 1, a["n"] - t, a["x"] + t))
-
-            done = F.aggregate(F.sequence(F.lit(1).cast("long"), p["k"]), state(acc["m"], acc["n"], F.lit(0).cast("long")), one)
-            piece = lambda k: F.filter(F.array(F.struct(p["sid"].alias("sid"), k.alias("k"))), lambda x: x["k"] > 0)
-            return _let(done, lambda d: F.struct(d["m"].alias("m"), d["n"].alias("n"), F.concat(acc["left"], piece(d["x"])).alias("left"), F.concat(acc["right"], piece(p["k"] - d["x"])).alias("right")))
-
-        count = F.aggregate("parts", F.lit(0).cast("long"), lambda acc, p: acc + p["k"])
-        start = F.struct(count.alias("m"), room.alias("n"), F.array().cast(part).alias("left"), F.array().cast(part).alias("right"))
-        node = lambda lo, hi, parts: F.struct(lo.alias("lo"), hi.alias("hi"), F.col("all").alias("all"), parts.alias("parts"))
-        halves = _let(F.aggregate("parts", start, draw), lambda d: F.array(node(F.col("lo"), mid, d["left"]), node(mid, F.col("hi"), d["right"])))
-        same = F.array(node(F.col("lo"), F.col("hi"), F.col("parts")))
-        nodes = nodes.select(F.explode(F.when(F.col("hi") - F.col("lo") > 1, halves).otherwise(same)).alias("v")).select("v.*")
+        nodes = nodes.selectExpr(level).select("v.*")
     return nodes.select(F.col("lo").alias("shard"), F.explode("parts").alias("p")).select("shard", "p.sid", "p.k")
 
 

@@ -11,8 +11,11 @@ member of a cluster).
 
 Rests are dealt by hash into packing groups of about ``group_words`` words and
 ``GROUP_ROWS`` rows, packed independently: a group is the unit of memory and of
-recovery, and a hot source or cluster is spread over all groups.  A source that
-holds much needs many bins; it is never dropped.
+recovery, and a hot source or cluster is spread over all groups.  Rows that are
+equal in doc_id and cluster share a hash: a group that comes to more than twice
+its rows or words is dealt on by the rows' places in their table, so that no
+group holds more whatever repeats.  A source that holds much needs many bins;
+it is never dropped.
 
 Defined cases: a text without words gives one row without a bin; a null source
 conflicts with nothing; texts that are equal are one cluster unless the caller
@@ -117,7 +120,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_words: int = GROUP_WOR
     cuts = numbered.where(full > 0).select("doc_id", "row", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"))
     cuts = cuts.select("doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start_word"), F.lit(capacity).cast("long").alias("n_words"), F.concat_ws("-", F.lit("w"), "row", "piece").alias("bin"), F.lit(0).alias("place"), F.lit(capacity).cast("long").alias("bin_words"))
     empty = rows.where("size = 0").select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start_word"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("string").alias("bin"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("long").alias("bin_words"))
-    rests = rows.where(rest > 0).select("doc_id", "source", "cluster", full.alias("piece"), (full.cast("long") * capacity).alias("start_word"), rest.cast("long").alias("n_words"), F.pmod(F.xxhash64("doc_id", "cluster", F.lit(seed)), F.lit(groups)).alias("group"))
+    rests = numbered.where(rest > 0).select("doc_id", "source", "cluster", "row", full.alias("piece"), (full.cast("long") * capacity).alias("start_word"), rest.cast("long").alias("n_words"), F.pmod(F.xxhash64("doc_id", "cluster", F.lit(seed)), F.lit(groups)).alias("group"))
+    deals = F.greatest(F.ceil(F.count("*") / GROUP_ROWS), F.ceil(F.sum("n_words") / group_words))
+    large = written(rests.groupBy("group").agg(deals.alias("deals"), ((F.count("*") > 2 * GROUP_ROWS) | (F.sum("n_words") > 2 * group_words)).alias("large")).where("large").drop("large"), "pack-large")
+    if large.isEmpty():
+        rests = rests.withColumn("deal", F.lit(0).cast("long"))
+    else:
+        rests = rests.join(large, "group", "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64("row", F.lit(seed)), "deals"), F.lit(0)))
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_words", "doc_id", "cluster", "source"], ascending=[False, True, True, True], na_position="last", kind="stable").reset_index(drop=True)
@@ -125,10 +134,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_words: int = GROUP_WOR
         cluster, _ = pd.factorize(pdf["cluster"])
         items = [(n, None if s < 0 else s, c) for n, s, c in zip(pdf["n_words"].tolist(), source.tolist(), cluster.tolist(), strict=True)]
         bins, places = best_fit(items, capacity)
-        pdf["bin"] = [f"{g}-{b}" for g, b in zip(pdf["group"].tolist(), bins, strict=True)]
+        pdf["bin"] = [f"{g}-{d}-{b}" for g, d, b in zip(pdf["group"].tolist(), pdf["deal"].tolist(), bins, strict=True)]
         pdf["place"] = pd.Series(places, dtype="int32")
         pdf["bin_words"] = pdf["n_words"].groupby(pd.Series(bins)).transform("sum") if len(pdf) else pd.Series(dtype="int64")
         return pdf[["doc_id", "piece", "start_word", "n_words", "bin", "place", "bin_words"]]
 
-    found = rests.groupBy("group").applyInPandas(packed, "doc_id bigint, piece int, start_word bigint, n_words bigint, bin string, place int, bin_words bigint")
+    found = rests.groupBy("group", "deal").applyInPandas(packed, "doc_id bigint, piece int, start_word bigint, n_words bigint, bin string, place int, bin_words bigint")
     return cuts.unionByName(found).unionByName(empty)

@@ -21,7 +21,8 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(table(spark, sf_dir, "documents"))
+    # shards of about 1.5 MB of text, so that the tree splits on tables of a few megabytes too
+    return mixing.taken(table(spark, sf_dir, "documents"), block_words=1 << 13, shard_words=1 << 17)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), sharding.QUERY_LIMIT)
 
 
 def queries() -> dict:

@@ -74,16 +74,31 @@ def _placed(rows: DataFrame, rounds: list[tuple[int, DataFrame]], limit: int) ->
         out = out.unionByName(more)
     out = out.withColumn("shard", F.concat_ws(":", F.col("depth").cast("string"), F.col("prefix").cast("string")))
     if rounds[-1][0] == BITS:
-        # rows equal in all bits are dealt by number, as many to a part as fit whatever their order
-        same = Window.partitionBy("h")
-        each = F.greatest(F.floor(F.lit(limit) / F.greatest(F.max("bytes").over(same), F.lit(1))), F.lit(1))
         whole = (F.col("shard_bytes") <= limit) | (F.col("shard_rows") == 1)
-        equal = out.where(~whole).withColumn("part", F.floor((F.row_number().over(same.orderBy("bytes")) - 1) / each))
-        equal = equal.withColumn("shard", F.concat_ws(":", "shard", F.col("part").cast("string"))).withColumn("shard_bytes", F.sum("bytes").over(Window.partitionBy("h", "part"))).drop("part")
-        out = out.where(whole).unionByName(equal)
+        out = out.where(whole).unionByName(_dealt(out.where(~whole), limit))
     return out.withColumn("oversized", F.col("shard_bytes") > limit).drop("prefix", "shard_rows")
 
 
+def _dealt(equal: DataFrame, limit: int) -> DataFrame:
+    """Rows equal in all bits, dealt by number: as many to a part as fit whatever their order.
+
+    They are numbered in the files of a written table, each file by itself, with a count of what is before it:
+    no set of equal rows is one task.
+    """
+    table = written(equal, "equal-rows")
+    rows = table.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    sums = rows.groupBy("h", "_file").agg(F.count("*").alias("_n"), F.max("bytes").alias("_most"))
+    of = Window.partitionBy("h")
+    each = F.greatest(F.floor(F.lit(limit) / F.greatest(F.max("_most").over(of), F.lit(1))), F.lit(1))
+    before = F.coalesce(F.sum("_n").over(of.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("h", "_file", each.alias("_each"), before.alias("_before"))
+    number = F.row_number().over(Window.partitionBy("h", "_file").orderBy("_at")) - 1
+    dealt = rows.withColumn("_number", number).join(sums, ["h", "_file"]).withColumn("part", F.floor((F.col("_number") + F.col("_before")) / F.col("_each")))
+    held = dealt.groupBy("h", "part").agg(F.sum("bytes").alias("_held"))
+    named = dealt.join(held, ["h", "part"]).withColumn("shard", F.concat_ws(":", "shard", F.col("part").cast("string"))).withColumn("shard_bytes", F.col("_held"))
+    return named.select(equal.columns)
+
+
 def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), row_hash(F.col("doc_id"), F.col("text")).alias("h"))
 
@@ -105,6 +120,9 @@ def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
     placed.select("row.*", F.col("shard").alias("_shard")).repartition("_shard").write.partitionBy("_shard").parquet(path)
 
 
+#: The query's limit: small, so that buckets split on tables of a few megabytes too.
+QUERY_LIMIT = 256 << 10
+
 ORACLE_SQL = f"""
 WITH RECURSIVE r AS (
   SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes,
@@ -114,9 +132,9 @@ d(depth) AS (SELECT 0 UNION ALL SELECT depth + 1 FROM d WHERE depth < 30),
 s AS (SELECT depth, h >> ({BITS} - depth) AS prefix, sum(bytes)::BIGINT AS shard_bytes, count(*) AS n FROM r, d GROUP BY ALL),
 leaf AS (
   SELECT r.doc_id, r.bytes, r.h, min(s.depth) AS depth
-  FROM r JOIN s ON s.prefix = r.h >> ({BITS} - s.depth) AND (s.shard_bytes <= {LIMIT} OR s.n = 1)
+  FROM r JOIN s ON s.prefix = r.h >> ({BITS} - s.depth) AND (s.shard_bytes <= {QUERY_LIMIT} OR s.n = 1)
   GROUP BY ALL)
 SELECT leaf.doc_id, leaf.bytes, leaf.depth::VARCHAR || ':' || s.prefix::VARCHAR AS shard,
-       leaf.depth::INT AS depth, s.shard_bytes, s.shard_bytes > {LIMIT} AS oversized
+       leaf.depth::INT AS depth, s.shard_bytes, s.shard_bytes > {QUERY_LIMIT} AS oversized
 FROM leaf JOIN s ON s.depth = leaf.depth AND s.prefix = leaf.h >> ({BITS} - leaf.depth)
 """

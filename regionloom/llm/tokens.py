@@ -24,18 +24,21 @@ file order document order; no task holds more than its own chunk.
 
 White space never joins a token of the vocabulary in use, which also lower-cases
 and keeps runs of letters and of marks apart.  So each distinct white-space-
-delimited piece is encoded once per worker and looked up after.  Whether that
-holds is a property of a tokenizer; ``pieces=False`` encodes whole texts.
+delimited piece is encoded once per worker and looked up after.  That is a
+property of a tokenizer's configuration, which is read first: one that is not
+known to have it (``by_pieces``) encodes whole texts, as ``pieces=False`` does.
 
 Defined cases: null and blank texts give the end id alone; null doc_ids come
-first; rows with equal doc_id follow one another, in the order of their texts;
-an empty table gives no file rows; other columns are not read.
+first; rows with equal doc_id follow one another, in the order of their texts'
+first ``_HEAD`` characters, then of a hash of the texts, and so may lie in several
+files; an empty table gives no file rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import ctypes
 import gc
+import json
 import os
 import re
 import zlib
@@ -44,7 +47,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions_for, scratch, settings, worker_cache, written
@@ -61,6 +64,7 @@ _PIECES_KEPT = 700_000
 PARTITION_BYTES = 32 << 20
 #: Texts that are encoded together.
 _TEXTS = 4096
+_HEAD = 64
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,6 +170,23 @@ _MARKS = ".,;:!?*#$%&|\"()-"
 _END_OF_WORD = "</w>"
 
 
+def by_pieces(configuration: dict) -> bool:
+    """Whether a tokenizer is known to give a text's ids piece by piece: what this module's shortcuts rely on, and nothing else."""
+    steps = lambda part, name: (part or {}).get(name) or ([part] if part else [])
+    normal = [(s.get("type"), (s.get("pattern") or {}).get("Regex"), s.get("content")) for s in steps(configuration.get("normalizer"), "normalizers")]
+    cuts = steps(configuration.get("pre_tokenizer"), "pretokenizers")
+    model = configuration.get("model") or {}
+    return (
+        normal == [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)]
+        and [s.get("type") for s in cuts] == ["Split", "ByteLevel"]
+        and (cuts[0].get("pattern"), cuts[0].get("behavior"), cuts[0].get("invert")) == ({"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "Removed", True)
+        and (cuts[1].get("add_prefix_space"), cuts[1].get("use_regex")) == (False, False)
+        and all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and not any(c.isspace() for c in t["content"]) for t in configuration.get("added_tokens") or [])
+        and (model.get("type"), model.get("dropout"), model.get("end_of_word_suffix"), model.get("continuing_subword_prefix")) == ("BPE", None, _END_OF_WORD, None)
+        and not configuration.get("truncation") and not configuration.get("padding")
+    )
+
+
 class _Encoder:
     """Texts to ids; pieces that were met before are looked up."""
 
@@ -174,6 +195,8 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.made = Tokenizer.from_file(tokenizer)
+        with open(tokenizer, encoding="utf-8") as f:
+            self.by_pieces = by_pieces(json.load(f))
         # piece -> ids as little-endian uint32 bytes; when the newer half is full it becomes the older
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -274,7 +297,8 @@ def _encoder(tokenizer: str, pieces: bool):
     kept = worker_cache().setdefault("tokenizers", {})
     if tokenizer not in kept:
         kept[tokenizer] = _Encoder(tokenizer)
-    return kept[tokenizer].pieces if pieces else kept[tokenizer].whole
+    made = kept[tokenizer]
+    return made.pieces if pieces and made.by_pieces else made.whole
 
 
 def encode_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, pieces: bool = True, block: int = BLOCK) -> None:
@@ -310,7 +334,11 @@ def encode_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                 _trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange(partitions_for(rows, PARTITION_BYTES), "doc_id").sortWithinPartitions("doc_id", "text")
+    # a doc_id that many rows share is cut by its texts, and equal texts by their places: no range is one task
+    order = ["doc_id", F.substring("text", 1, _HEAD), F.xxhash64("text"), F.monotonically_increasing_id()]
+    keys = [f"_o{i}" for i in range(len(order))]
+    rows = rows.select("*", *[F.col(o).alias(k) if isinstance(o, str) else o.alias(k) for o, k in zip(order, keys, strict=True)])
+    rows = rows.repartitionByRange(partitions_for(docs.select("doc_id", "text"), PARTITION_BYTES), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     # text files of one "line" for each chunk: Spark's writer puts the bytes down as they are
     with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="512"):
         rows.mapInArrow(chunks, "chunk binary").select(F.col("chunk").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
@@ -337,14 +365,18 @@ def _read(spark: SparkSession, path: str, of_ids, kind: pa.DataType, ddl: str, n
     return files.mapInArrow(documents, f"file string, doc_id bigint, start bigint, n_tokens bigint, {name} {ddl}")
 
 
+def part_number(file: Column) -> Column:
+    """The number in a part's name, by which files are in document order: names are not, once it has six digits."""
+    return F.regexp_extract(file, r"part-(\d+)[^/]*$", 1).cast("long")
+
+
 def digest(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document of the files."""
     crc = lambda ids: zlib.crc32(ids.astype("<u4").tobytes())
     with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1"):
         docs = written(_read(spark, path, crc, pa.int64(), "bigint", "ids_crc32"), "token-digests")
     totals = docs.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    # a row for each file: file names are in document order
-    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(part_number(F.col("file"))).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return docs.join(totals.select("file", before.alias("before")), "file").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 

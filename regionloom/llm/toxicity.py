@@ -15,8 +15,9 @@ and counted once a document.  Those that positives have more often than the
 unlabelled set (likelihood ratio), and often enough for at least ``PURITY`` of
 their unlabelled documents to be positive at that prior, become the model: at
 most ``MOST_FEATURES``.  Fitting reads at most ``MOST_POSITIVE`` and
-``MOST_UNLABELLED`` whole texts, chosen by a hash of doc_id; every text is
-scored whole.
+``MOST_UNLABELLED`` whole texts: as many doc_ids are chosen by a hash, and of
+each the one text with the least hash, however often the doc_id is repeated.
+Every text is scored whole.
 
 Defined cases: null and blank texts, like all texts without a feature, get the
 score of the intercept; null doc_ids count as held out and are never learnt
@@ -89,13 +90,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_features: int, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and intercept from rows of feature numbers."""
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_features: int, prior: float, times: tuple[list[int], list[int]] | None = None) -> tuple[np.ndarray, float]:
+    """Weights and intercept from rows of feature numbers; ``times`` says how often each row counts."""
 
     def packed(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.array([len(r) for r in rows])
 
     (pf, pn), (uf, un) = packed(positive), packed(unlabelled)
+    share = lambda c: np.asarray(c, np.float64) / np.sum(c)
+    ps, us = (share(c) for c in times or ([1] * len(pn), [1] * len(un)))
     w, b = np.zeros(n_features), -1.0
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     value = lambda f, n: np.bincount(np.repeat(np.arange(len(n)), n), weights=w[f], minlength=len(n)) + b
@@ -103,9 +106,9 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_feature
     grad = lambda f, n, g: np.append(np.bincount(f, weights=np.repeat(g, n), minlength=n_features), g.sum())
     for step in range(1, STEPS + 1):
         zp, zu = value(pf, pn), value(uf, un)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        as_positive = grad(pf, pn, prior * (sigmoid(zp) - 1) / len(pn))
-        as_negative = grad(uf, un, sigmoid(zu) / len(un)) - grad(pf, pn, prior * sigmoid(zp) / len(pn))
+        negative = us @ np.logaddexp(0, zu) - prior * (ps @ np.logaddexp(0, zp))
+        as_positive = grad(pf, pn, prior * (sigmoid(zp) - 1) * ps)
+        as_negative = grad(uf, un, sigmoid(zu) * us) - grad(pf, pn, prior * sigmoid(zp) * ps)
         g = as_positive + as_negative if negative >= 0 else -as_negative
         g[:-1] += DECAY * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -125,9 +128,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     prior = min(max((toxic or 0) / max(n, 1), 1e-3), 0.5)
     order = lambda d, most: d.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most)
     positive = order(marks.where("toxic = 1").select("doc_id"), MOST_POSITIVE).withColumn("positive", F.lit(True))
-    unlabelled = order(docs.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id"), MOST_UNLABELLED).distinct().withColumn("positive", F.lit(False))
+    unlabelled = order(docs.where(F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id").distinct(), MOST_UNLABELLED).withColumn("positive", F.lit(False))
     # both lists have a stated number of rows at most
     chosen = F.broadcast(written(positive.unionByName(unlabelled).select(F.col("doc_id").alias("id"), "positive"), "toxicity-chosen"))
+    # one text of each: hashes are compared before any text is moved
+    texts = docs.select("doc_id", "text", F.xxhash64("text", F.lit(3)).alias("hash"))
+    least = texts.select("doc_id", "hash").join(chosen.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min("hash").alias("hash"))
+    chosen = F.broadcast(written(chosen.join(least.withColumnRenamed("doc_id", "id"), "id"), "toxicity-rows"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, ...]] = {}
@@ -141,7 +148,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                     known.clear()
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("positive"), pa.array(rows, pa.list_(pa.int64()))], ["id", "positive", "features"])
 
-    sample = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("id")).select(F.col("id").cast("long").alias("id"), "positive", "text")
+    sample = texts.join(chosen, (F.col("doc_id") == F.col("id")) & (texts["hash"] == chosen["hash"])).select("id", "positive", "text")
+    # rows equal in id and text are one: combined before the shuffle
+    sample = sample.groupBy("id", "positive").agg(F.min("text").alias("text")).select(F.col("id").cast("long").alias("id"), "positive", "text")
     sample = written(sample.mapInArrow(featured, "id bigint, positive boolean, features array<bigint>"), "toxicity-sample")
     rows_p, rows_u = (sample.where("positive").count(), sample.where("not positive").count())
     if not rows_p or not rows_u:
@@ -165,8 +174,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     numbers = sample.select("positive", "features").mapInArrow(numbered, "positive boolean, f array<int>").groupBy("positive", "f").count().collect()
     numbers.sort(key=lambda r: (r.positive, tuple(r.f)))
-    rows = {kind: [np.array(r.f, np.int64) for r in numbers if r.positive == kind for _ in range(r["count"])] for kind in (True, False)}
-    w, bias = fit_nnpu(rows[True], rows[False], len(features), prior)
+    rows = {kind: [np.array(r.f, np.int64) for r in numbers if r.positive == kind] for kind in (True, False)}
+    times = tuple([r["count"] for r in numbers if r.positive == kind] for kind in (True, False))
+    w, bias = fit_nnpu(rows[True], rows[False], len(features), prior, times)
     return Model(tuple(features), tuple(w.tolist()), bias)
 
 

@@ -7,10 +7,16 @@ records have one (weakly compared), else the last-modified date, else the
 payload digest.  The resolved record is the response with the headers that a
 304 may replace (``PERMITTED``) taken from the revisit.
 
-The as-of join runs in two levels, so that one URL with a third of all records
-is not one task: within a time bucket by a window over the bucket's records, and
-over buckets by a window over one row for each.  Payloads stay where they are;
-the result names the response by its record_id.
+A revisit whose profile says that the payload was found identical by its digest
+answers with headers of its own, like a full response: it stands if the digests
+agree, whatever the other validators say, and keeps its own headers.
+
+The as-of join runs in three levels, so that one URL with a third of all records
+is not one task: the records of a second become one row, combined before the
+shuffle; within a time bucket a window runs over its seconds, of which a day has
+86,400 at most; over buckets a window runs over one row for each.  Revisits find
+their answer by URL and second.  Payloads stay where they are; the result names
+the response by its record_id.
 
 Defined cases: a revisit without an earlier response is ``orphan``; without a
 validator that both records have, ``unverified``; with unequal ones,
@@ -22,20 +28,22 @@ rows; other columns are not read.
 
 from __future__ import annotations
 
-import gzip
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import task_store
+
 #: Header fields that a 304 may bring up to date (RFC 9110 and 9111; fixed values).
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query fields that only track where a visitor came from.
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
 BUCKET_SECONDS = 86_400
 
-SCHEMA = "record_id string, url string, ts bigint, kind string, etag string, last_modified string, digest string, headers map<string,string>, payload binary"
+SCHEMA = "record_id string, url string, ts bigint, kind string, etag string, last_modified string, digest string, headers map<string,string>, profile string, payload binary"
 
 
 def canonical(url: Column) -> Column:
@@ -57,26 +65,31 @@ def resolve(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFra
     """A row for each revisit of ``records``: record_id, key, ts, status, response_id, headers.
 
     ``records`` has record_id, url, ts (seconds), kind ('response' or 'revisit'),
-    etag, last_modified, digest, headers (map with lower-case names).
+    etag, last_modified, digest, headers (map with lower-case names), and may have
+    profile, the revisit's WARC-Profile.
     """
-    r = records.select("record_id", canonical(F.col("url")).alias("key"), F.col("ts").cast("long").alias("ts"), "kind", "etag", "last_modified", "digest", F.array_sort(F.map_entries("headers")).alias("headers"))
-    r = r.where(F.col("kind").isin("response", "revisit")).withColumn("bucket", F.floor(F.col("ts") / bucket_seconds))
-    response = F.when((F.col("kind") == "response") & F.col("ts").isNotNull(), F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers"))
-    r = r.withColumn("response", response)
-    joined = r.where(F.col("key").isNotNull() & F.col("ts").isNotNull())
-    before = Window.partitionBy("key", "bucket").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    inside = joined.withColumn("near", F.max("response").over(before)).where("kind = 'revisit'")
+    profile = F.lower(F.coalesce(F.col("profile").cast("string"), F.lit(""))) if "profile" in records.columns else F.lit("")
+    r = records.select("record_id", canonical(F.col("url")).alias("key"), F.col("ts").cast("long").alias("ts"), "kind", "etag", "last_modified", "digest", F.array_sort(F.map_entries("headers")).alias("headers"), profile.contains("identical-payload-digest").alias("identical"))
+    r = r.where(F.col("kind").isin("response", "revisit"))
+    dated = F.col("key").isNotNull() & F.col("ts").isNotNull()
+    response = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers"))
+    # one row for each second of a URL
+    seconds = r.where(dated).groupBy("key", "ts").agg(F.max(response).alias("own"), F.max(F.col("kind") == "revisit").alias("asked")).withColumn("bucket", F.floor(F.col("ts") / bucket_seconds))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    near = F.max("own").over(upto(Window.partitionBy("key", "bucket").orderBy("ts")))
     # what earlier buckets end with: a row for each bucket of a URL
-    ends = joined.groupBy("key", "bucket").agg(F.max("response").alias("end"))
-    earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("key", "bucket", F.max("end").over(earlier).alias("far"))
-    found = inside.join(ends, ["key", "bucket"]).withColumn("found", F.coalesce("near", "far")).drop("near", "far")
-    lost = r.where("kind = 'revisit'").where(F.col("key").isNull() | F.col("ts").isNull()).withColumn("found", F.lit(None).cast(found.schema["found"].dataType))
+    ends = seconds.groupBy("key", "bucket").agg(F.max("own").alias("end"))
+    ends = ends.select("key", "bucket", F.max("end").over(upto(Window.partitionBy("key").orderBy("bucket"))).alias("far"))
+    answers = seconds.withColumn("near", near).where("asked").join(ends, ["key", "bucket"]).select("key", "ts", F.coalesce("near", "far").alias("found"))
+    revisits = r.where("kind = 'revisit'")
+    found = revisits.where(dated).join(answers, ["key", "ts"])
+    lost = revisits.where(~dated).withColumn("found", F.lit(None).cast(found.schema["found"].dataType))
     found = found.unionByName(lost.select(found.columns))
     both = lambda c: F.col(c).isNotNull() & F.col(f"found.{c}").isNotNull()
     verdict = lambda same: F.when(same, "resolved").otherwise("mismatch")
     status = (
         F.when(F.col("found").isNull(), "orphan")
+        .when(F.col("identical"), F.when(both("digest"), verdict(F.col("digest") == F.col("found.digest"))).otherwise("unverified"))
         .when(both("etag"), verdict(_tag(F.col("etag")) == _tag(F.col("found.etag"))))
         .when(both("last_modified"), verdict(F.col("last_modified") == F.col("found.last_modified")))
         .when(both("digest"), verdict(F.col("digest") == F.col("found.digest")))
@@ -86,26 +99,34 @@ def resolve(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFra
     fresh = F.filter("headers", lambda h: h["key"].isin(*PERMITTED))
     names = F.transform(fresh, lambda h: h["key"])
     old = F.filter("found.headers", lambda h: ~F.array_contains(names, h["key"]))
-    merged = F.when(F.col("status") == "resolved", F.array_sort(F.concat(F.coalesce(old, F.array().cast(r.schema["headers"].dataType)), F.coalesce(fresh, F.array().cast(r.schema["headers"].dataType)))))
+    merged = F.when((F.col("status") == "resolved") & F.col("identical"), F.coalesce("headers", F.array().cast(r.schema["headers"].dataType))).when(F.col("status") == "resolved", F.array_sort(F.concat(F.coalesce(old, F.array().cast(r.schema["headers"].dataType)), F.coalesce(fresh, F.array().cast(r.schema["headers"].dataType)))))
     return found.select("record_id", "key", "ts", "status", F.when(F.col("status") == "resolved", F.col("found.record_id")).alias("response_id"), F.map_from_entries(merged).alias("headers"))
 
 
+#: Bytes that are read at once, and of a head of fields at most.
+_READ = 1 << 20
+_HEAD = 1 << 20
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The response and revisit records of WARC files (plain or gzipped) below ``path``.
 
-    A file is the unit: it is read as a whole, so files should be of the usual size of at most a gigabyte.
+    A file is a task and is read as a stream: a task holds the record that it is at, never a file.
     """
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("content").to_pylist():
-                for row in parse_warc(data):
-                    yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
+            for name in batch.column("path").to_pylist():
+                store, there = task_store(name)
+                with store.open_input_stream(there, compression=None) as f:
+                    for row in parse_warc(iter(lambda: f.read(_READ), b"")):
+                        yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content").mapInArrow(records, SCHEMA)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    return files.repartition(max(1, len(files._jdf.inputFiles())), "path").mapInArrow(records, SCHEMA)
 
 
-_ARROW = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("ts", pa.int64()), ("kind", pa.string()), ("etag", pa.string()), ("last_modified", pa.string()), ("digest", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
+_ARROW = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("ts", pa.int64()), ("kind", pa.string()), ("etag", pa.string()), ("last_modified", pa.string()), ("digest", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("profile", pa.string()), ("payload", pa.binary())])
 
 
 def _fields(block: bytes) -> dict[str, str]:
@@ -117,29 +138,109 @@ def _fields(block: bytes) -> dict[str, str]:
     return out
 
 
-def parse_warc(data: bytes) -> Iterator[dict]:
-    """The response and revisit records of one file; others are passed over, a damaged end stops the file."""
+def _inflated(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes of a file, gzip members taken apart one after another; a truncated or damaged one ends them."""
+    first = next(pieces, b"")
+    if first[:2] != b"\x1f\x8b":
+        yield first
+        yield from pieces
+        return
+    inflate, data = zlib.decompressobj(31), first
+    try:
+        while data or (data := next(pieces, b"")):
+            if out := inflate.decompress(data, _READ):
+                yield out
+            data = inflate.unconsumed_tail
+            if inflate.eof:
+                # the next member, if no padding follows
+                data = inflate.unused_data or next(pieces, b"")
+                while data and not (data := data.lstrip(b"\0")):
+                    data = next(pieces, b"")
+                inflate = zlib.decompressobj(31)
+    except zlib.error:
+        return
+
+
+class _Reader:
+    """Exact reads over a stream of pieces."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held = pieces, bytearray()
+
+    def more(self) -> bool:
+        for piece in self.pieces:
+            if piece:
+                self.held += piece
+                return True
+        return False
+
+    def until(self, mark: bytes, most: int) -> bytes | None:
+        """What comes before ``mark``, which is passed over; None at the end, or if it is not found within ``most`` bytes."""
+        seen = 0
+        while (at := self.held.find(mark, max(0, seen - len(mark)))) < 0:
+            seen = len(self.held)
+            if seen > most or not self.more():
+                return None
+        out = bytes(self.held[:at])
+        del self.held[: at + len(mark)]
+        return out
+
+    def take(self, n: int) -> bytes | None:
+        """The next ``n`` bytes; None if fewer are left."""
+        while len(self.held) < n:
+            if not self.more():
+                return None
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+    def skip(self, n: int) -> bool:
+        """Passes over ``n`` bytes without holding them."""
+        while n > len(self.held):
+            n -= len(self.held)
+            self.held.clear()
+            if not self.more():
+                return False
+        del self.held[:n]
+        return True
+
+    def to(self, mark: bytes) -> bool:
+        """Drops what comes before ``mark``, which stays."""
+        while (at := self.held.find(mark)) < 0:
+            del self.held[: max(0, len(self.held) - len(mark) + 1)]
+            if not self.more():
+                return False
+        del self.held[:at]
+        return True
+
+
+def parse_warc(data: bytes | Iterator[bytes]) -> Iterator[dict]:
+    """The response and revisit records of one file; others are passed over, a damaged or truncated end stops the file."""
     from datetime import datetime
 
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (start := data.find(b"WARC/", at)) >= 0 and (end := data.find(b"\r\n\r\n", start)) >= 0:
-        fields = _fields(data[start:end])
+    reader = _Reader(_inflated(iter([data]) if isinstance(data, (bytes, bytearray)) else data))
+    while reader.to(b"WARC/"):
+        if (head := reader.until(b"\r\n\r\n", _HEAD)) is None:
+            if not reader.skip(5):  # no record begins here
+                return
+            continue
+        fields = _fields(head)
         if not fields.get("content-length", "").isdigit():
-            at = end
             continue
-        at = end + 4 + int(fields["content-length"])
-        kind = fields.get("warc-type")
+        length, kind = int(fields["content-length"]), fields.get("warc-type")
         if kind not in ("response", "revisit"):
+            if not reader.skip(length):
+                return
             continue
-        head, _, body = data[end + 4 : at].partition(b"\r\n\r\n")
+        if (block := reader.take(length)) is None:
+            return
+        head, _, body = block.partition(b"\r\n\r\n")
         http = _fields(head)
         try:
             ts = int(datetime.fromisoformat(fields["warc-date"].replace("Z", "+00:00")).timestamp())
         except (KeyError, ValueError):
             ts = None
-        yield {"record_id": fields.get("warc-record-id"), "url": fields.get("warc-target-uri"), "ts": ts, "kind": kind, "etag": http.get("etag"), "last_modified": http.get("last-modified"), "digest": fields.get("warc-payload-digest"), "headers": http, "payload": body if kind == "response" else None}
+        yield {"record_id": fields.get("warc-record-id"), "url": fields.get("warc-target-uri"), "ts": ts, "kind": kind, "etag": http.get("etag"), "last_modified": http.get("last-modified"), "digest": fields.get("warc-payload-digest"), "headers": http, "profile": fields.get("warc-profile"), "payload": body if kind == "response" else None}
 
 
 #: The captures that the query makes of ``pages``: every page is fetched once, and asked for again twice.
