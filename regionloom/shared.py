@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import contextlib
-import contextvars
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -37,25 +37,34 @@ class Owner:
             remove(spark, self.paths.pop())
 
 
-_owner: contextvars.ContextVar[Owner] = contextvars.ContextVar("owner")
+#: The owner of each thread's work; plain, as this module is shipped to workers by value.
+_owners: dict[int, Owner] = {}
 _process = Owner()
 
 
+def _owner() -> Owner:
+    return _owners.get(threading.get_ident(), _process)
+
+
 @contextlib.contextmanager
 def owned() -> Iterator[Owner]:
-    """What is made inside belongs to the owner given, whatever other threads make."""
-    mine = Owner()
-    token = _owner.set(mine)
+    """What this thread makes inside belongs to the owner given, whatever other threads make."""
+    me, mine = threading.get_ident(), Owner()
+    before = _owners.get(me)
+    _owners[me] = mine
     try:
         yield mine
     finally:
-        _owner.reset(token)
+        if before is None:
+            del _owners[me]
+        else:
+            _owners[me] = before
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder, held by the current owner."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _owner.get(_process).paths.append(path)
+    _owner().paths.append(path)
     return path
 
 
@@ -90,7 +99,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession, path: str) -> None:
     """Deletes one path that nothing reads any more, and lets its owner forget it."""
-    for owner in (_owner.get(_process), _process):
+    for owner in (_owner(), _process):
         if path in owner.paths:
             owner.paths.remove(path)
     remove(spark, path)
@@ -98,7 +107,7 @@ def release(spark: SparkSession, path: str) -> None:
 
 def clear(spark: SparkSession) -> None:
     """Deletes all that has been made outside an owner of its own."""
-    _owner.get(_process).clear(spark)
+    _owner().clear(spark)
 
 
 #: Input up to which rows may be dealt anew: more than that comes in enough row groups by itself.
