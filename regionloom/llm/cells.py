@@ -18,11 +18,11 @@ HEAVY = 1 << 16
 
 
 def deal(items: DataFrame, made: Callable[[DataFrame], DataFrame], key: str, cell: list[str], heavy: int = HEAVY, sample: int = SAMPLE) -> DataFrame:
-    """``made(items)``, rows of cells, with ``part``: a cell of more than ``heavy`` rows is dealt in parts.
+    """``made(items)``, rows of cells, with ``part``, ``own`` and ``groups``: a cell of more than ``heavy`` rows is dealt in parts.
 
     Its members are hashed into groups of about ``heavy``; a part is a pair of
     groups, so any two members meet in some part and no part holds more than two
-    groups.  The sample only says which cells to part: one that it misses is
+    groups; ``of_part`` names the one part that a pair of members belongs to.  The sample only says which cells to part: one that it misses is
     compared whole, and the result is the same.
     """
     some = items.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(sample)) == 0)
@@ -30,11 +30,17 @@ def deal(items: DataFrame, made: Callable[[DataFrame], DataFrame], key: str, cel
     found = written(counts.select(*cell, F.ceil(F.col("n") / heavy).alias("groups")), "heavy-cells")
     rows = made(items)
     if found.isEmpty():
-        return rows.withColumn("part", F.lit(0).cast("long"))
+        return rows.withColumn("part", F.lit(0).cast("long")).withColumn("own", F.lit(0).cast("long")).withColumn("groups", F.lit(1).cast("long"))
     own = F.pmod(F.xxhash64(key, F.lit(29)), F.col("groups"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1), lambda j: F.least(own, j) * F.col("groups") + F.greatest(own, j))
     parts = F.when(F.col("groups").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)
-    return rows.join(found, cell, "left").withColumn("part", F.explode(parts)).drop("groups")
+    rows = rows.join(found, cell, "left").withColumn("part", F.explode(parts)).withColumn("own", F.coalesce(own, F.lit(0)))
+    return rows.withColumn("groups", F.coalesce("groups", F.lit(1)))
+
+
+def of_part(own: np.ndarray, other: np.ndarray, groups: int) -> np.ndarray:
+    """The part that pairs of members of these groups belong to, among all in which they meet."""
+    return np.minimum(own, other) * groups + np.maximum(own, other)
 
 
 def cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:

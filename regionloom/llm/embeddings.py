@@ -11,7 +11,11 @@ rows), and the union of what all blocks let through is verified on the original
 vectors in double precision.
 
 Equal vectors of a label are one class with a count; links between classes give
-links of vectors by multiplication, and copies are never paired.
+links of vectors by multiplication, and copies are never paired.  A cell that
+lets more than ``DENSE`` pairs a member through sends on its members, not pairs:
+they are verified within the cell, which gives a count and one link for each.
+A pair belongs to the first block that lets it through, and there to one cell and
+part of it, so it is counted once.  What is sent on grows with the rows.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components, and those without a label, link with nothing; vectors of different
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cells import HEAVY, cells, deal
+from .cells import HEAVY, cells, deal, of_part
 from .common import partitions_for, written
 from .components import components
 
@@ -40,6 +44,9 @@ WIDTH = 3.0
 #: Rows of a cell that are compared at once, and pairs that are sent on at once.
 _PAIRS = 512
 _SENT = 1 << 18
+#: Pairs a member above which a cell sends on its members instead, if it has more than ``_SMALLEST`` pairs.
+DENSE = 8.0
+_SMALLEST = 64
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -52,14 +59,17 @@ def _vectors(column: pa.Array) -> list[np.ndarray]:
     return [np.asarray(v, np.float64) for v in column.to_pylist()]
 
 
-def _dealt(classes: DataFrame, cosine: float) -> DataFrame:
-    """(label, dim, block, cell, class, coordinates) of every cell that a block of a vector comes near."""
+def _rotated(classes: DataFrame) -> DataFrame:
+    """``classes`` with ``rot``: the rotated unit vector as float32, filled up to whole blocks.
+
+    It is computed once and stored, so that all tasks compare the same numbers.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turned: dict[int, np.ndarray] = {}
         for batch in batches:
+            vectors, out = _vectors(batch.column("embedding")), [b""] * batch.num_rows
             by_dim: dict[int, list[int]] = {}
-            vectors = _vectors(batch.column("embedding"))
             for i, v in enumerate(vectors):
                 by_dim.setdefault(len(v), []).append(i)
             for dim, rows in by_dim.items():
@@ -67,106 +77,261 @@ def _dealt(classes: DataFrame, cosine: float) -> DataFrame:
                 # scaled first: squares of very large or small components stay finite
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                x = x @ turned.setdefault(dim, rotation(dim))
+                x = np.pad(x @ turned.setdefault(dim, rotation(dim)), ((0, 0), (0, -dim % BLOCK))).astype("<f4")
+                for i, row in zip(rows, x, strict=True):
+                    out[i] = row.tobytes()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "rot"])
+
+    return classes.mapInArrow(made, classes.withColumn("rot", F.lit(b"")).schema)
+
+
+def _share(dim: int, block: int, cosine: float) -> float:
+    """The squared distance that a block may have, a little more than its part."""
+    return (2 - 2 * cosine) * min(BLOCK, dim - BLOCK * block) / dim + 1e-6
+
+
+def _edges(x: np.ndarray, dim: int, block: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """First and last grid line of each row's first coordinates: the cells that it comes within half the radius of."""
+    radius = np.sqrt(_share(dim, block, cosine)) * (1 + 1e-9)
+    x = x[:, : min(GRID, dim - BLOCK * block)].astype(np.float64)
+    return tuple(np.floor((x + side * radius / 2) / (WIDTH * radius)).astype(np.int64) for side in (-1, 1))
+
+
+def _cell(lines: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(lines), np.int64)
+    for g in range(lines.shape[1]):
+        out = out * 4096 + (lines[:, g] + 2048)
+    return out
+
+
+def _square(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of a block's rows, added up in one order everywhere."""
+    d = x.astype(np.float64) - y.astype(np.float64)
+    out = np.zeros(len(d))
+    for i in range(BLOCK):
+        out += d[:, i] * d[:, i]
+    return out
+
+
+def _dealt(classes: DataFrame, cosine: float) -> DataFrame:
+    """(label, dim, block, cell, class, coordinates) of every cell that a block of a vector comes near."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                rows = np.flatnonzero(dims == dim)
+                x = np.frombuffer(b"".join(batch.column("rot").take(pa.array(rows)).to_pylist()), "<f4").reshape(len(rows), -1)
                 labels, ids = batch.column("label").to_numpy(zero_copy_only=False)[rows], batch.column("class").to_numpy()[rows]
                 for block, first in enumerate(range(0, dim, BLOCK)):
-                    part = x[:, first : first + BLOCK]
-                    radius = np.sqrt((2 - 2 * cosine) * part.shape[1] / dim) + 1e-6
-                    width, grid = WIDTH * radius, min(GRID, part.shape[1])
-                    low = np.floor((part[:, :grid] - radius / 2) / width).astype(np.int64)
-                    high = np.floor((part[:, :grid] + radius / 2) / width).astype(np.int64)
+                    part = np.ascontiguousarray(x[:, first : first + BLOCK])
+                    low, high = _edges(part, dim, block, cosine)
                     at, cell = np.arange(len(part)), np.zeros(len(part), np.int64)
-                    for g in range(grid):
+                    for g in range(low.shape[1]):
                         # a coordinate touches one cell or two
-                        span = (high - low)[at, g]
-                        n = span + 1
+                        n = (high - low)[at, g] + 1
                         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                         at, cell = np.repeat(at, n), np.repeat(cell, n)
                         cell = cell * 4096 + (low[at, g] + step + 2048)
-                    # the last block may be narrower: all rows are made equally long
-                    coordinates = [row.tobytes() for row in np.pad(part, ((0, 0), (0, BLOCK - part.shape[1]))).astype("<f4")]
+                    coordinates = [row.tobytes() for row in part]
                     full = lambda v, t: pa.array(np.full(len(at), v), t)
                     yield pa.RecordBatch.from_arrays([pa.array(labels[at], pa.int64()), full(dim, pa.int32()), full(block, pa.int32()), pa.array(cell, pa.int64()), pa.array(ids[at], pa.int64()), pa.array([coordinates[i] for i in at.tolist()], pa.binary())], ["label", "dim", "block", "cell", "class", "coordinates"])
 
-    return classes.select(F.col("label").cast("long").alias("label"), "class", "embedding").mapInArrow(made, "label bigint, dim int, block int, cell bigint, class bigint, coordinates binary")
+    return classes.select(F.col("label").cast("long").alias("label"), F.size("embedding").alias("dim"), "class", "rot").mapInArrow(made, "label bigint, dim int, block int, cell bigint, class bigint, coordinates binary")
 
 
-def candidates(classes: DataFrame, cosine: float = COSINE, heavy: int = HEAVY) -> DataFrame:
-    """(a, b), a < b: the pairs of classes that some block lets through."""
+_CELL = ["dim", "label", "block", "cell"]
+_FOUND = "a bigint, b bigint, dim int, label bigint, block int, cell bigint, part bigint, own bigint, groups bigint"
+
+
+def _near(x: np.ndarray, dim: int, block: int, cell: int, part: int, own: np.ndarray, groups: int, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (p, q) of the pairs of a cell's rows that the block lets through, some at a time.
+
+    A pair that meets in several cells or parts is given in one of them: the one cell that both rows' first lines name.
+    """
+    share, wide = _share(dim, block, cosine), x.astype(np.float64)
+    low, square = _edges(x, dim, block, cosine)[0], (wide * wide).sum(axis=1)
+    for m in range(0, len(x), _PAIRS):
+        for k in range(m, len(x), _PAIRS):
+            d = square[m : m + _PAIRS, None] + square[None, k : k + _PAIRS] - 2 * wide[m : m + _PAIRS] @ wide[k : k + _PAIRS].T
+            p, q = np.nonzero(np.triu(d <= share + 1e-9, 1) if m == k else d <= share + 1e-9)
+            p, q = m + p, k + q
+            if not len(p):
+                continue
+            good = _square(x[p], x[q]) <= share
+            good[good] = _cell(np.maximum(low[p[good]], low[q[good]])) == cell
+            if groups > 1:
+                good[good] = of_part(own[p[good]], own[q[good]], groups) == part
+            if good.any():
+                yield p[good], q[good]
+
+
+def _compared(classes: DataFrame, cosine: float, heavy: int, dense: float) -> DataFrame:
+    """Rows of ``_FOUND``: the pairs of classes that a block lets through, with the block; or, with b null, the members of a cell that has more than ``dense`` such pairs a member."""
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: list[np.ndarray] = []
-        b: list[np.ndarray] = []
+        held: list[list[np.ndarray]] = []
 
         def made() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
-            a.clear()
-            b.clear()
-            return out
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            held.clear()
+            none = columns.pop(1)
+            b = pa.array(none, pa.int64(), mask=none < 0)
+            schema = [("a", "i8"), ("dim", "i4"), ("label", "i8"), ("block", "i4"), ("cell", "i8"), ("part", "i8"), ("own", "i8"), ("groups", "i8")]
+            arrays = [pa.array(c.astype(t)) for c, (_, t) in zip(columns, schema, strict=True)]
+            return pa.RecordBatch.from_arrays([arrays[0], b, *arrays[1:]], ["a", "b", *[n for n, _ in schema[1:]]])
 
-        for (dims, _, blocks, _, _, ids, parts), begins, ends in cells(batches, 5):
+        for (dims, labels, blocks, at, part, ids, owns, groups, coordinates), begins, ends in cells(batches, 5):
             for i, j in zip(begins.tolist(), ends.tolist(), strict=True):
-                x, own = parts[i:j].astype(np.float64), ids[i:j]
-                share = (2 - 2 * cosine) * min(BLOCK, dims[i] - BLOCK * blocks[i]) / dims[i] + 1e-6
-                square = (x * x).sum(axis=1)
-                for m in range(0, len(x), _PAIRS):
-                    for k in range(m, len(x), _PAIRS):
-                        d = square[m : m + _PAIRS, None] + square[None, k : k + _PAIRS] - 2 * x[m : m + _PAIRS] @ x[k : k + _PAIRS].T
-                        p, q = np.nonzero(np.triu(d <= share, 1) if m == k else d <= share)
-                        p, q = own[m + p], own[k + q]
-                        a.append(np.minimum(p, q))
-                        b.append(np.maximum(p, q))
-                        if sum(map(len, a)) > _SENT:
-                            yield made()
-            if sum(map(len, a)) > _SENT // 8 or len(a) > 4096:
-                yield made()
-        if a:
+                own = ids[i:j]
+                name = [int(c[i]) for c in (dims, labels, blocks, at, part)]
+                pairs, n = [], 0
+                for p, q in _near(coordinates[i:j], name[0], name[2], name[3], name[4], owns[i:j], int(groups[i]), cosine):
+                    pairs.append((np.minimum(own[p], own[q]), np.maximum(own[p], own[q])))
+                    n += len(p)
+                    if n > max(dense * (j - i), _SMALLEST):
+                        break
+                if n > max(dense * (j - i), _SMALLEST):
+                    held.append([own, np.full(j - i, -1), *[np.full(j - i, v) for v in name], owns[i:j], groups[i:j]])
+                elif n:
+                    a, b = (np.concatenate(c) for c in zip(*pairs, strict=True))
+                    held.append([a, b, *[np.full(n, v) for v in name], np.zeros(n, np.int64), np.ones(n, np.int64)])
+                if sum(len(h[0]) for h in held) > _SENT:
+                    yield made()
+        if held:
             yield made()
 
-    cell = ["dim", "label", "block", "cell"]
-    dealt = deal(classes, lambda d: _dealt(d, cosine), "class", cell, heavy)
+    dealt = deal(classes, lambda d: _dealt(d, cosine), "class", _CELL, heavy)
     n = partitions_for(classes, 1 << 20)
-    dealt = dealt.select(*cell, "part", "class", F.col("coordinates")).repartition(n, *cell, "part").sortWithinPartitions(*cell, "part")
-    return dealt.mapInArrow(joined, "a bigint, b bigint").distinct()
+    dealt = dealt.select(*_CELL, "part", "class", "own", "groups", "coordinates").repartition(n, *_CELL, "part").sortWithinPartitions(*_CELL, "part")
+    return dealt.mapInArrow(joined, _FOUND)
+
+
+def candidates(classes: DataFrame, cosine: float = COSINE, heavy: int = HEAVY) -> DataFrame:
+    """(a, b), a < b: all pairs of classes that some block lets through, each once."""
+    return _compared(written(_rotated(classes), "rotated"), cosine, heavy, float("inf")).select("a", "b").distinct()
+
+
+def _cosines(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    x, y = np.stack(x).astype(np.float64), np.stack(y).astype(np.float64)
+    x, y = x / np.abs(x).max(axis=1, keepdims=True), y / np.abs(y).max(axis=1, keepdims=True)
+    return (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+
+
+def _first_block(x: np.ndarray, y: np.ndarray, dim: int, cosine: float) -> np.ndarray:
+    """The first block that lets each pair of rotated vectors through."""
+    out = np.full(len(x), -1)
+    for block in range(-(-dim // BLOCK)):
+        left = np.flatnonzero(out < 0)
+        cut = slice(BLOCK * block, BLOCK * block + BLOCK)
+        out[left[_square(x[left, cut], y[left, cut]) <= _share(dim, block, cosine)]] = block
+    return out
 
 
 def verified(pairs: DataFrame, classes: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """The pairs whose vectors have the cosine."""
-    side = lambda c: classes.select(F.col("class").alias(c), F.col("embedding").alias(f"v{c}"))
+    """The pairs whose vectors have the cosine; with a column ``block`` only those whose first block that is."""
+    by_block = "block" in pairs.columns
+    columns = ["embedding", "rot"] if by_block else ["embedding"]
+    side = lambda c: classes.select(F.col("class").alias(c), *[F.col(n).alias(f"{n}_{c}") for n in columns])
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             # both vectors of a candidate have the same length
-            sizes, good = batch.column("va").value_lengths().to_numpy(zero_copy_only=False), np.zeros(batch.num_rows, bool)
-            for dim in np.unique(sizes):
+            sizes, good = batch.column("embedding_a").value_lengths().to_numpy(zero_copy_only=False), np.zeros(batch.num_rows, bool)
+            for dim in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == dim)
-                x, y = (batch.column(c).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) for c in ("va", "vb"))
-                x, y = x / np.abs(x).max(axis=1, keepdims=True), y / np.abs(y).max(axis=1, keepdims=True)
-                good[rows] = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1)) >= cosine
+                x, y = (batch.column(f"embedding_{c}").take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for c in "ab")
+                good[rows] = _cosines(list(x), list(y)) >= cosine
+                if by_block:
+                    x, y = (np.frombuffer(b"".join(batch.column(f"rot_{c}").take(pa.array(rows)).to_pylist()), "<f4").reshape(len(rows), -1) for c in "ab")
+                    good[rows] &= _first_block(x, y, dim, cosine) == batch.column("block").to_numpy()[rows]
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "va", "vb")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(["block"] if by_block else []), *[f"{n}_{c}" for n in columns for c in "ab"])
     return both.mapInArrow(kept, "a bigint, b bigint")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+def _joined(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Adds links to ``root``, which names the least place that each is linked with so far."""
+    while True:
+        a, b = root[p], root[q]
+        if (a == b).all():
+            return
+        least = np.minimum(a, b)
+        np.minimum.at(root, a, least)
+        np.minimum.at(root, b, least)
+        while (root != root[root]).any():
+            root[:] = root[root]
+
+
+def _counted(members: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
+    """(class, others, root) of the members of dense cells: vectors linked there and a link that joins them, never the pairs."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one(rows: list[dict]) -> pa.RecordBatch | None:
+            dim, block = rows[0]["dim"], rows[0]["block"]
+            rot = np.frombuffer(b"".join(r["rot"] for r in rows), "<f4").reshape(len(rows), -1)
+            x = np.stack([np.asarray(r["embedding"], np.float64) for r in rows])
+            x /= np.abs(x).max(axis=1, keepdims=True)
+            long = (x * x).sum(axis=1)
+            own, copies = np.array([r["own"] for r in rows]), np.array([r["copies"] for r in rows], np.int64)
+            others, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
+            part = np.ascontiguousarray(rot[:, BLOCK * block : BLOCK * block + BLOCK])
+            for p, q in _near(part, dim, block, rows[0]["cell"], rows[0]["part"], own, rows[0]["groups"], cosine):
+                good = (x[p] * x[q]).sum(axis=1) / np.sqrt(long[p] * long[q]) >= cosine
+                p, q = p[good], q[good]
+                good = _first_block(rot[p], rot[q], dim, cosine) == block
+                p, q = p[good], q[good]
+                np.add.at(others, p, copies[q])
+                np.add.at(others, q, copies[p])
+                _joined(root, p, q)
+            hit = np.flatnonzero(others)
+            if len(hit):
+                names = np.array([r["a"] for r in rows], np.int64)
+                return pa.RecordBatch.from_arrays([pa.array(names[hit]), pa.array(others[hit]), pa.array(names[root[hit]])], ["class", "others", "root"])
+            return None
+
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and any(held[0][c] != row[c] for c in (*_CELL, "part")):
+                    if (out := one(held)) is not None:
+                        yield out
+                    held = []
+                held.append(row)
+        if held and (out := one(held)) is not None:
+            yield out
+
+    both = members.drop("b").join(classes.select(F.col("class").alias("a"), "embedding", "rot", "copies"), "a")
+    both = both.repartition(*_CELL, "part").sortWithinPartitions(*_CELL, "part", "a")
+    return both.mapInArrow(counted, "class bigint, others bigint, root bigint")
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, heavy: int = HEAVY, dense: float = DENSE) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = vectors.select("vec_id", "label", "embedding", usable.alias("usable"))
-    good = rows.where("usable").select("vec_id", "label", "embedding")
-    classes = written(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("class", F.monotonically_increasing_id()), "classes")
-    pairs = written(verified(candidates(classes, cosine), classes, cosine), "vector-links")
-    roots = components(pairs)
+    # a hash ahead of the vector makes sorting by it cheap
+    good = rows.where("usable").select("vec_id", "label", "embedding", F.xxhash64("label", "embedding").alias("key"))
+    classes = good.groupBy("key", "label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("class", F.monotonically_increasing_id())
+    classes = written(_rotated(written(classes, "classes")), "classes-rotated")
+    found = written(_compared(classes, cosine, heavy, dense), "vector-candidates")
+    # a pair stands with the first block that lets it through: in a sparse cell as a pair, in a dense one within the cell
+    sparse = found.where("b is not null").groupBy("a", "b").agg(F.min("block").alias("block"))
+    pairs = written(verified(sparse, classes, cosine), "vector-links")
+    counted = written(_counted(found.where("b is null"), classes, cosine), "dense-counts")
+    roots = components(pairs.unionByName(counted.select(F.col("class").alias("a"), F.col("root").alias("b"))))
     size = classes.select("class", "copies")
     ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = ends.join(size.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("copies").alias("others"))
+    linked = ends.join(size.withColumnRenamed("class", "b"), "b").select(F.col("a").alias("class"), F.col("copies").alias("others"))
+    linked = linked.unionByName(counted.select("class", "others")).groupBy("class").agg(F.sum("others").alias("others"))
     found = classes.join(linked, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")
-    found = written(found.select("label", "embedding", "least", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "class").alias("root")), "vector-classes")
-    named = found.join(found.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("label", "embedding", "n_links", "component_id")
-    out = good.join(named, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    found = written(found.select("key", "label", "embedding", "least", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "class").alias("root")), "vector-classes")
+    named = found.join(found.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "label", "embedding", "n_links", "component_id")
+    out = good.join(named, ["key", "label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

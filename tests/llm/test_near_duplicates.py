@@ -116,6 +116,25 @@ def test_heavy_cells_lose_no_pair(spark, monkeypatch):
         assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
 
 
+def test_dense_cells_count_each_pair_once(spark, monkeypatch):
+    """The same rows whether cells send pairs or members, whole or in parts; copies and several labels among them."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.ones((150, 20)) + rng.normal(size=(150, 20)) * s for s in (0.05, 0.12)] + [rng.normal(size=(40, 20))])
+    x = np.concatenate([x, x[:30], x[:5]]).astype(np.float32)
+    labels = [i % 2 for i in range(len(x))]
+    d = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    link = (d @ d.T >= 0.98) & np.equal.outer(labels, labels)
+    np.fill_diagonal(link, False)
+    want = joined(range(len(x)), [(int(i), int(j)) for i, j in zip(*np.nonzero(link), strict=True) if i < j])
+    vectors = spark.createDataFrame([(i, v.tolist(), k) for i, (v, k) in enumerate(zip(x, labels, strict=True))], "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr(embeddings, "_SMALLEST", 0)
+    assert link.sum() > 8 * len(x)
+    for dense, heavy, sample in ((float("inf"), 10**9, 128), (0.0, 10**9, 128), (0.5, 40, 1)):
+        monkeypatch.setattr(embeddings.deal, "__defaults__", (heavy, sample))
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(vectors, heavy=heavy, dense=dense).collect()}
+        assert got == {i: (int(link[i].sum()), want[i]) for i in range(len(x))}
+
+
 def test_vector_cases(spark):
     rows = [(1, None, 1), (2, [0.0, 0.0], 1), (3, [1.0, None], 1), (4, [float("nan"), 1.0], 1), (5, [1.0, 0.0], None), (6, [1.0, 0.0], 1), (7, [2.0, 0.0], 1), (8, [1.0], 1), (None, [1.0, 0.0], 1), (9, [], 1), (10, [float("inf"), 1.0], 1), (6, [1.0, 0.0], 1)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, n_links string")
