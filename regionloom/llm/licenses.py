@@ -1,11 +1,14 @@
 """Licence scan: a trained paragraph classifier with template comparison.
 
 Training (driver, numpy, bounded): paragraphs of the licence families' notices,
-as they are and with words dropped, against paragraphs sampled from the corpus
+as they are and with words dropped, against beginnings of paragraphs sampled from the corpus
 as the unknown class.  Features are the 1- to 3-word grams of the notices that
 are rare in the sample; a multinomial logistic regression with an L1 penalty
-keeps few of them.  A temperature fitted on held-out paragraphs calibrates the
-probabilities, so that the unknown class wins where evidence is thin.
+keeps few of them.  A temperature fitted on notices that were held out whole
+calibrates the probabilities, so that the unknown class wins where evidence is
+thin.  Notices are families' paragraphs, and short ones made by rule of the
+families' names and of sentences; the unknown class also has sentences with
+such words that grant nothing.
 
 Scan (DataFrame functions alone): a paragraph can leave the unknown class only
 if its grams outweigh that class's lead, and grams without one of the model's
@@ -15,7 +18,9 @@ paragraph, by joining its grams to the weights (at most ``MOST_FEATURES`` rows).
 A prediction stands if at least 0.8 of the paragraph's 5-word shingles are in
 the family's notices, or if 0.8 of one notice's are in the paragraph and the
 lines around it, up to a blank one: a notice may have words beside it, and may
-be wrapped.
+be wrapped.  A notice in other words stands by its likeness to a template: the
+share, by weight, of the template's rare words that it has, above a least value
+fitted on the held-out notices.
 
 Defined cases: null and blank texts have no paragraphs and give no rows;
 paragraphs with fewer than five words have one shingle; equal paragraphs get
@@ -42,32 +47,42 @@ NOTICES = {
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     ],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
         "This project is released under the Apache License 2.0.",
+        "See the License for the specific language governing permissions and limitations under the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership.",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
         "Licensed under the GNU GPL v3.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
     ],
     "lgpl": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
         "Licensed under the GNU Lesser General Public License, version 3.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
     ],
     "agpl": [
         "Licensed under the GNU Affero General Public License, version 3.",
         "You should have received a copy of the GNU Affero General Public License along with this program.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Released under the 3-clause BSD License.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES',
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
@@ -89,19 +104,98 @@ NOTICES = {
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0.",
         "Released into the public domain under CC0.",
     ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Licensed under the ISC License.",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "bsl-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Boost Software License - Version 1.0 - August 17th, 2003",
+    ],
+    "epl-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "Licensed under the Eclipse Public License 2.0.",
+    ],
+    "all-rights-reserved": [
+        "All rights reserved.",
+        "Copyright holder. All rights reserved. No part of this publication may be reproduced, distributed or transmitted in any form without the prior written permission of the publisher.",
+        "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.",
+    ],
 }
+#: How families are called in running text, and sentences in which they are (fixed values); short notices are made of both by rule.
+NAMES = {
+    "mit": ["the MIT License", "the MIT licence", "MIT"],
+    "apache-2.0": ["the Apache License, Version 2.0", "the Apache 2.0 license", "Apache-2.0", "the Apache Software License"],
+    "gpl": ["the GNU General Public License", "the GNU GPL version 2 or later", "the GNU GPL", "GPL-3.0-or-later", "GPL-2.0-only", "GPLv3"],
+    "lgpl": ["the GNU Lesser General Public License", "the GNU Library General Public License", "LGPL-2.1-or-later", "LGPL version 3", "the LGPL"],
+    "agpl": ["the GNU Affero General Public License", "AGPL-3.0-only", "the AGPL version 3"],
+    "bsd": ["the BSD License", "the 2-clause BSD license", "BSD-3-Clause", "a BSD-style license", "the New BSD License"],
+    "mpl-2.0": ["the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0", "MPL-2.0"],
+    "cc-by": ["CC BY 4.0", "CC-BY-4.0", "a Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 3.0"],
+    "cc-by-sa": ["CC BY-SA 4.0", "CC-BY-SA-4.0", "a Creative Commons Attribution-ShareAlike 4.0 License", "Creative Commons Attribution-ShareAlike 3.0"],
+    "cc-by-nc": ["CC BY-NC 4.0", "CC-BY-NC-4.0", "a Creative Commons Attribution-NonCommercial 4.0 License", "Creative Commons Attribution-NonCommercial 3.0"],
+    "cc0": ["CC0 1.0", "CC0-1.0", "the Creative Commons Zero public domain dedication"],
+    "isc": ["the ISC License", "ISC"],
+    "unlicense": ["the Unlicense", "Unlicense"],
+    "bsl-1.0": ["the Boost Software License, Version 1.0", "BSL-1.0"],
+    "epl-2.0": ["the Eclipse Public License 2.0", "EPL-2.0"],
+}
+FRAMES = (
+    "Licensed under {}.", "Released under {}.", "Distributed under the terms of {}.", "This project is licensed under {}.", "This code is available under {}; see LICENSE for details.",
+    "{} licensed.", "Dual licensed: {} or commercial.", "Published under {}.", "This software is covered by {}.", "Permission is granted under {}.", "You may use this work under {}.", "Made available under {}, see the file COPYING.",
+)
+RESERVED = ("Copyright (c) 2020 the authors. All rights reserved.", "Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados.", "© The Company. All Rights Reserved.", "All other rights reserved by the copyright holder.")
+#: Sentences with words of licences that grant nothing (fixed values): the unknown class learns from them too.
+OTHER = (
+    "His driver's license was suspended for two years.", "The license plate of the car was never found.", "She studied physics at MIT before moving to Boston.", "Researchers at MIT published a new study.",
+    "An Apache helicopter landed near the village.", "The Apache people lived in the southwest.", "The restaurant lost its liquor license in March.", "The general public was not admitted to the trial.",
+    "A public license fee pays for the television service.", "The commons were open to all farmers of the parish.", "They attribute the success to creative work and common sense.", "Mozilla released a new version of the browser.",
+    "The software was released in 2004 and sold well.", "Berkeley is a city in California.", "The foundation published the terms of the agreement.", "Permission to build the bridge was granted by the council.",
+    "The copyright law was reformed last year.", "All rights and duties pass to the heirs.", "The seats were reserved for the guests.", "The lunar eclipse could be seen by the public.",
+    "Rocket boost software failed during the launch.", "The warranty covers any damage for two years.", "No warranty of any kind was given by the dealer.", "She reserved the right to appeal.",
+)
+
+
+def phrases() -> list[tuple[str, str]]:
+    """(family, short notice): every name of a family in every sentence."""
+    made = [(family, frame.format(name)) for family, names in NAMES.items() for name in names for frame in FRAMES]
+    # identifiers stand alone or after a mark; names do not, as they may just be spoken of
+    for family, names in NAMES.items():
+        for name in names:
+            if " " not in name:
+                made += [(family, f"License: {name}"), (family, f"SPDX-License-Identifier: {name}")]
+            if re.search(r"[a-zA-Z]-.*[0-9]|[a-zA-Z][0-9]$", name) and " " not in name:
+                made.append((family, name))
+    return made + [("all-rights-reserved", t) for t in RESERVED]
+
+
 UNKNOWN = "unknown"
 FAMILIES = [UNKNOWN, *NOTICES]
 MOST_FEATURES = 4000
 SAMPLE_DOCS = 500
 SAMPLE_PARAGRAPHS = 4000
-COPIES = 12
+#: Characters of a sampled paragraph at most; the scan reads whole texts.
+SAMPLE_CHARS = 4000
+COPIES = 4
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Words of a template that are compared with the line alone; longer ones also with the lines around it.
+SHORT = 16
+#: How far ahead of every family the unknown class starts.
+LEAD = 0.5
+#: Likeness to a template below which nothing is confirmed.
+LIKE = 0.65
+#: Held-out notices that the fitted likeness to a template must let through.
+CONFIRMED = 0.95
 #: Characters on each side of a line that are compared with it: twice the longest notice, for what wrapping adds.
 REACH = 2 * max(len(t) for texts in NOTICES.values() for t in texts)
 REACH_LINES = 64
 _RARE = 0.005
+_COMMON = 0.02
 _SPLIT = r"[^\p{L}\p{N}./-]+"
 
 
@@ -146,6 +240,8 @@ class Model:
     weights: np.ndarray  # features x families
     bias: np.ndarray
     temperature: float
+    least: float  # likeness to a template that confirms
+    sampled: int
 
     def anchors(self, common: dict[str, int]) -> list[str]:
         """Words of which a paragraph must have one to leave the unknown class.
@@ -168,20 +264,27 @@ class Model:
         return sorted(held)
 
 
-def fit(rows: list[set[str]], labels: np.ndarray, features: list[str], steps: int = 300, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: list[set[str]], labels: np.ndarray, features: list[str], kinds: np.ndarray, steps: int = 600, penalty: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
     """Multinomial logistic regression by proximal gradient steps on sparse 0/1 rows."""
     place = {f: i for i, f in enumerate(features)}
-    at = [sorted(place[f] for f in r if f in place) for r in rows]
+    # classes count alike, whatever their rows, and within one its long and its short notices
+    groups = 2 * labels + kinds
+    weight = (1 / np.maximum(np.bincount(groups, minlength=2 * len(FAMILIES)), 1))[groups]
+    # equal rows, most of the unknown class among them, are one with their weight
+    same: dict[tuple, float] = {}
+    for r, label, v in zip(rows, labels.tolist(), weight.tolist(), strict=True):
+        key = (label, *sorted(place[f] for f in r if f in place))
+        same[key] = same.get(key, 0.0) + v
+    labels, at = np.array([k[0] for k in same]), [list(k[1:]) for k in same]
+    weight = np.array(list(same.values()))
+    weight /= weight.sum()
     n = np.array([len(a) for a in at])
-    flat, owner = np.array([i for a in at for i in a], np.int64), np.repeat(np.arange(len(rows)), n)
+    flat, owner = np.array([i for a in at for i in a], np.int64), np.repeat(np.arange(len(at)), n)
     w, b = np.zeros((len(features), len(FAMILIES))), np.zeros(len(FAMILIES))
     target = np.eye(len(FAMILIES))[labels]
-    # classes count alike, whatever their rows
-    weight = (1 / np.maximum(np.bincount(labels, minlength=len(FAMILIES)), 1))[labels]
-    weight /= weight.sum()
     rate = 4.0
     for _ in range(steps):
-        z = np.tile(b, (len(rows), 1))
+        z = np.tile(b, (len(at), 1))
         np.add.at(z, owner, w[flat])
         p = np.exp(z - z.max(axis=1, keepdims=True))
         g = (p / p.sum(axis=1, keepdims=True) - target) * weight[:, None]
@@ -191,45 +294,73 @@ def fit(rows: list[set[str]], labels: np.ndarray, features: list[str], steps: in
         w = np.sign(w) * np.maximum(np.abs(w) - rate * penalty, 0)
         b -= rate * g.sum(axis=0)
     # the unknown class starts ahead: no evidence is no licence
-    b[0] = max(b[0], b[1:].max() + 1)
+    b[0] = max(b[0], b[1:].max() + LEAD)
     return w, b
 
 
+def _rows(rng: np.random.Generator) -> tuple[list[list[str]], list[int], list[int]]:
+    """(words, family, notice) of all notices: as they are, and with words dropped."""
+    texts = [(k, t) for k, (_, some) in enumerate(NOTICES.items(), 1) for t in some] + [(FAMILIES.index(f), t) for f, t in phrases()]
+    rows, labels, owners = [], [], []
+    for n, (k, text) in enumerate(texts):
+        words = _tokens(text)
+        for copy in range(COPIES if len(words) > SHORT else 1):
+            drop = set(rng.choice(len(words), copy * len(words) // 20, replace=False).tolist()) if copy else set()
+            rows.append([w for i, w in enumerate(words) if i not in drop])
+            labels.append(k)
+            owners.append(n)
+    return rows, labels, owners
+
+
+def templates(common: dict[str, int], sampled: int) -> list[tuple[str, int, str, float, bool]]:
+    """(family, template, word, share, short): the rare words of each notice with their parts of its weight, which is larger the rarer a word is in the sample."""
+    out = []
+    for n, (family, text) in enumerate([(f, t) for f, some in NOTICES.items() for t in some] + phrases()):
+        words = _tokens(text)
+        if len(words) <= 3:
+            out.append((family, n, " ".join(words), 1.0, True))  # their order counts
+            continue
+        weight = {w: np.log((sampled + 1) / (common.get(w, 0) + 1)) for w in set(words) if common.get(w, 0) <= max(_COMMON * sampled, 1)}
+        total = sum(weight.values())
+        out += [(family, n, w, float(v / total), len(words) <= SHORT) for w, v in sorted(weight.items())] if total else []
+    return out
+
+
 def train(docs: DataFrame, seed: int = 5) -> tuple[Model, dict[str, int]]:
-    """The model, and how many sampled paragraphs have each word."""
+    """The model, and how many sampled paragraphs have each word.
+
+    Every fourth notice is held out as a whole, with all its copies: the temperature and the least likeness to a
+    template are fitted on those, which the weights they are fitted with have not seen.  The weights that are used
+    then learn from all notices.
+    """
     # ids are chosen before any text is moved; there are SAMPLE_DOCS of them at most
     ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(SAMPLE_DOCS)
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    lines = sample.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length(F.btrim("line")) > 0).distinct().orderBy(F.xxhash64("line", F.lit(seed)), "line").limit(SAMPLE_PARAGRAPHS)
-    shingles = {g for texts in NOTICES.values() for t in texts for g in _grams(_tokens(t), SHINGLE)}
-    unknown = [w for w in (_tokens(r.line) for r in lines.collect()) if not shingles.intersection(_grams(w, SHINGLE))]
+    lines = sample.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length(F.btrim("line")) > 0).select(F.substring("line", 1, SAMPLE_CHARS).alias("line")).distinct().orderBy(F.xxhash64("line", F.lit(seed)), "line").limit(SAMPLE_PARAGRAPHS)
     rng = np.random.default_rng(seed)
-    rows, labels, held = [], [], []
-    for k, (_, texts) in enumerate(NOTICES.items(), 1):
-        for text in texts:
-            words = _tokens(text)
-            for copy in range(COPIES):
-                drop = set(rng.choice(len(words), copy * len(words) // 60, replace=False).tolist()) if copy else set()
-                rows.append([w for i, w in enumerate(words) if i not in drop])
-                labels.append(k)
-                held.append(copy % 4 == 3)
-    for i, words in enumerate(unknown):
-        rows.append(words)
-        labels.append(0)
-        held.append(i % 4 == 3)
-    rows, labels, held = [_features(r) for r in rows], np.array(labels), np.array(held)
+    rows, labels, owners = _rows(rng)
+    shingles = {g for r in rows for g in _grams(r, min(SHINGLE, max(3, len(r)))) if len(r) >= 3}
+    known = lambda w: any(shingles.intersection(_grams(w, n)) for n in (3, 4, SHINGLE))
+    unknown = [w for w in (_tokens(r.line) for r in lines.collect()) if not known(w)] + [_tokens(t) for t in OTHER]
+    rows, labels = rows + unknown, np.array(labels + [0] * len(unknown))
+    owners = np.array(owners + list(range(len(unknown))))
+    held, kinds = owners % 4 == 3, np.array([int(len(r) > SHORT and k > 0) for r, k in zip(rows, labels, strict=True)])
+    rows = [_features(r) for r in rows]
     common: dict[str, int] = {}
     for r, label in zip(rows, labels, strict=True):
         if not label:
             for f in r:
                 common[f] = common.get(f, 0) + 1
-    of_notices = {f for r, label in zip(rows, labels, strict=True) if label for f in r}
-    rare = sorted(f for f in of_notices if common.get(f, 0) <= _RARE * max(len(unknown), 1))[:MOST_FEATURES]
+    often: dict[str, int] = {}
+    for r, label in zip(rows, labels, strict=True):
+        if label:
+            for f in r:
+                often[f] = often.get(f, 0) + 1
+    # grams that several notices share come first, then by name
+    rare = sorted((f for f in often if common.get(f, 0) <= _RARE * max(len(unknown), 1)), key=lambda f: (-often[f], f))[:MOST_FEATURES]
     fitted = np.flatnonzero(~held)
-    w, b = fit([rows[i] for i in fitted], labels[fitted], rare)
-    kept = np.flatnonzero(np.abs(w).max(axis=1) > 0)
-    features, w = [rare[i] for i in kept], w[kept]
-    place = {f: i for i, f in enumerate(features)}
+    w, b = fit([rows[i] for i in fitted], labels[fitted], rare, kinds[fitted])
+    place = {f: i for i, f in enumerate(rare)}
     z = np.array([b + sum((w[place[f]] for f in r if f in place), np.zeros(len(b))) for r in (rows[i] for i in np.flatnonzero(held))])
     truth = labels[held]
 
@@ -238,11 +369,19 @@ def train(docs: DataFrame, seed: int = 5) -> tuple[Model, dict[str, int]]:
         return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(s)), truth]).mean())
 
     temperature = min((float(t) for t in np.geomspace(0.25, 4, 33)), key=loss)
-    return Model(features, w, b, temperature), common
+    # how much of another template of its family a held-out notice holds: what a rewording must reach
+    parts: dict[tuple[str, int], dict[str, float]] = {}
+    for family, n, word, share, _ in templates(common, len(unknown)):
+        parts.setdefault((family, n), {})[word] = share
+    likeness = [max((sum(v for word, v in p.items() if word in rows[i]) for (family, n), p in parts.items() if family == FAMILIES[labels[i]] and n != owners[i]), default=0.0) for i in np.flatnonzero(held & (labels > 0))]
+    least = float(np.clip(np.quantile(likeness, 1 - CONFIRMED), LIKE, SIMILARITY)) if likeness else SIMILARITY
+    w, b = fit(rows, labels, rare, kinds)
+    kept = np.flatnonzero(np.abs(w).max(axis=1) > 0)
+    return Model([rare[i] for i in kept], w[kept], b, temperature, least, len(unknown)), common
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """A row for each paragraph with a licence: doc_id, paragraph, text, family, probability, similarity, confirmed."""
+    """A row for each paragraph with a licence: doc_id, paragraph, text, family, probability, similarity, likeness, confirmed."""
     spark = docs.sparkSession
     model, common = train(docs)
     anchors = r"(?iu)(?<![\p{L}\p{N}])(" + "|".join(re.escape(a) for a in model.anchors(common)) + r")(?![\p{L}\p{N}])"
@@ -271,7 +410,13 @@ def scan(docs: DataFrame) -> DataFrame:
     around = judged.join(found.select("line", "block").distinct(), "line").select("line", "family", "block", tokens(F.col("block")).alias("words"))
     around = around.select("line", "family", "block", F.explode(F.array_distinct(grams(F.col("words"), SHINGLE))).alias("shingle")).join(parts, ["family", "shingle"])
     held = around.groupBy("line", "block", "notice", "n").agg((F.count("*") / F.col("n")).alias("held")).groupBy("line", "block").agg(F.max("held").alias("held"))
-    verdict = found.select("line", "block").distinct().join(judged.join(similar, "line"), "line").join(held, ["line", "block"], "left")
-    verdict = written(verdict.withColumn("similarity", F.greatest("similarity", "held")), "licence-verdicts")
-    out = found.join(verdict, ["line", "block"]).select("doc_id", "paragraph", F.col("line").alias("text"), "family", "probability", "similarity")
-    return out.withColumn("confirmed", F.col("similarity") >= SIMILARITY)
+    # likeness to a template in other words: the rare words that both have, by weight; short ones within the line
+    likes = F.broadcast(spark.createDataFrame(templates(common, model.sampled), "family string, template int, word string, share double, short boolean"))
+    pairs = found.select("line", "block").distinct()
+    texts = judged.select("line", "family").join(pairs, "line")
+    of = lambda c, short: texts.withColumn("words", tokens(F.col(c))).select("line", "block", "family", F.explode(F.array_distinct(F.concat(*[grams(F.col("words"), n) for n in ((1, 2, 3) if short else (1,))]))).alias("word")).join(likes.where(F.col("short") == short), ["family", "word"]).groupBy("line", "block", "template").agg(F.sum("share").alias("like"))
+    like = of("line", True).unionByName(of("block", False)).groupBy("line", "block").agg(F.max("like").alias("like"))
+    verdict = pairs.join(judged.join(similar, "line"), "line").join(held, ["line", "block"], "left").join(like, ["line", "block"], "left")
+    verdict = written(verdict.withColumn("similarity", F.greatest("similarity", "held")).withColumn("like", F.coalesce("like", F.lit(0.0))), "licence-verdicts")
+    out = found.join(verdict, ["line", "block"]).select("doc_id", "paragraph", F.col("line").alias("text"), "family", "probability", "similarity", F.col("like").alias("likeness"))
+    return out.withColumn("confirmed", (F.col("similarity") >= SIMILARITY) | (F.col("likeness") >= model.least))
