@@ -57,7 +57,7 @@ def validate_heatmaps(spark, a) -> None:
 
 
 def dedupe_heatmaps(spark, a) -> None:
-    maps = readers.load_heatmaps(spark, a.input)
+    maps = readers.load_heatmaps(spark, a.input, extra=True)
     merged = merge.merge_duplicates(maps, a.policy)
     sinks.write_jsonl(merged.drop("first_row") if a.policy == "error" else merged, a.output, ["first_row"] if a.policy != "error" else ["image_path"], a.overwrite)
     print(f"source={maps.count()} unique={merged.count()}")

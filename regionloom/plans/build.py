@@ -119,7 +119,7 @@ class HeatmapPipeline:
 
         spark, r = self.spark, self.results
         path = lambda name: os.path.join(self.out, name)
-        maps = readers.load_heatmaps(spark, self.heatmaps)
+        maps = readers.load_heatmaps(spark, self.heatmaps, extra=True)
         rows = readers.by_split(readers.read_csv_strict(spark, self.manifest), self.split)
         readers.require(rows, f"no rows of split {self.split}")
         if "validate" in self.stages:

@@ -53,9 +53,9 @@ def r6(c: Column | str) -> Column:
 _E = """
 e AS (SELECT vec_id, label::VARCHAR AS label, i, embedding[i + 1]::DOUBLE AS x FROM embeddings, range(64) t(i)),"""
 _PROTO = _E + """
-m AS (SELECT label, i, avg(x) AS x FROM e WHERE vec_id % 2 = 0 GROUP BY ALL),
+m AS (SELECT label, i, avg(x) AS x FROM e GROUP BY ALL),
 p AS (SELECT label, i, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS x FROM m),
-q AS (SELECT vec_id, label AS y_true, i, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM e WHERE vec_id % 2 = 1),
+q AS (SELECT vec_id, label AS y_true, i, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM e),
 s AS (SELECT q.vec_id, q.y_true, p.label AS class, sum(q.x * p.x) AS score FROM q JOIN p USING (i) GROUP BY ALL),
 b AS (SELECT vec_id, y_true, class AS y_pred, score FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 9) DESC, class) = 1)
 """
@@ -63,14 +63,14 @@ b AS (SELECT vec_id, y_true, class AS y_pred, score FROM s QUALIFY row_number()
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir)
-    protos = classify.prototypes(f.where("row_idx % 2 = 0"), [])
-    queries = f.where("row_idx % 2 = 1").withColumnRenamed("label", "y_true")
+    protos = classify.prototypes(f, [])
+    queries = f.withColumnRenamed("label", "y_true")
     return classify.score(queries, protos, [], ["row_idx", "y_true"])
 
 
 @query("WITH " + _PROTO + "SELECT label, i::INT AS pos, round(x, 6) + 0.0 AS value FROM p")
 def prototype_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    protos = classify.prototypes(features(spark, sf_dir).where("row_idx % 2 = 0"), [])
+    protos = classify.prototypes(features(spark, sf_dir), [])
     return protos.select("label", F.posexplode("prototype").alias("pos", "x")).select("label", "pos", r6("x").alias("value"))
 
 
@@ -116,9 +116,9 @@ def prototype_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BRANCH = """
-{n}m AS (SELECT label, i, avg(x) AS x FROM e WHERE vec_id % 2 = 0 AND i BETWEEN {a} AND {b} GROUP BY ALL),
+{n}m AS (SELECT label, i, avg(x) AS x FROM e WHERE i BETWEEN {a} AND {b} GROUP BY ALL),
 {n}p AS (SELECT label, i, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS x FROM {n}m),
-{n}q AS (SELECT vec_id, label AS y_true, i, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM e WHERE vec_id % 2 = 1 AND i BETWEEN {a} AND {b}),
+{n}q AS (SELECT vec_id, label AS y_true, i, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM e WHERE i BETWEEN {a} AND {b}),
 {n}s AS (SELECT q.vec_id, q.y_true, p.label AS class, sum(q.x * p.x) AS score FROM {n}q q JOIN {n}p p USING (i) GROUP BY ALL),"""
 _TWO = _E + _BRANCH.format(n="w", a=0, b=31) + _BRANCH.format(n="r", a=32, b=63)
 _FUSED = """
@@ -130,8 +130,8 @@ def _branches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     f, out = features(spark, sf_dir), []
     for start in (1, 33):
         half = f.withColumn("feature", F.slice("feature", start, 32))
-        protos = classify.prototypes(half.where("row_idx % 2 = 0"), [])
-        out.append(classify.score(half.where("row_idx % 2 = 1").select("row_idx", F.col("label").alias("y_true"), "feature"), protos, [], ["row_idx", "y_true"]))
+        protos = classify.prototypes(half, [])
+        out.append(classify.score(half.select("row_idx", F.col("label").alias("y_true"), "feature"), protos, [], ["row_idx", "y_true"]))
     return out[0], out[1]
 
 
@@ -213,19 +213,10 @@ def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + _E + """
 t AS (SELECT vec_id, label, i // 8 AS k, i % 8 AS d, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id, i // 8)) AS x FROM e),
-q AS (SELECT * FROM t WHERE vec_id % 20 = 1), m AS (SELECT * FROM t WHERE label = '0' AND vec_id % 10 = 0),
-s AS (SELECT q.vec_id, q.k, m.vec_id AS mv, m.k AS mk, sum(q.x * m.x) AS c FROM q JOIN m USING (d) GROUP BY ALL)
+m AS (SELECT * FROM t WHERE label = '0'),
+s AS (SELECT q.vec_id, q.k, m.vec_id AS mv, m.k AS mk, sum(q.x * m.x) AS c FROM t q JOIN m USING (d) GROUP BY ALL)
 SELECT vec_id, k::INT AS patch, round(1 - max(c), 6) + 0.0 AS score FROM s GROUP BY ALL""")
 def nearest_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What its SQL can hold: a part of the images against a part of the memory. ``nearest_memory_all`` is the whole job."""
-    tokens = _patches(spark, sf_dir)
-    memory = tokens.where("label = '0' AND row_idx % 10 = 0")
-    out = classify.nearest_memory(tokens.where("row_idx % 20 = 1"), memory, ["row_idx", "patch"])
-    return out.select(F.col("row_idx").alias("vec_id"), "patch", r6("score").alias("score"))
-
-
-@query()
-def nearest_memory_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every patch of every image against every patch of the images of label 0."""
     tokens = _patches(spark, sf_dir)
     out = classify.nearest_memory(tokens, tokens.where("label = '0'"), ["row_idx", "patch"])
@@ -613,9 +604,9 @@ def heatmap_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing.select(F.lit("missing").alias("side"), F.col("image_path").alias("key")).unionByName(extra.select(F.lit("extra").alias("side"), F.col("image_path").alias("key")))
 
 
-@query("(SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer) UNION ALL (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)")
+@query("(SELECT o_custkey + 10 AS k FROM orders EXCEPT SELECT c_custkey FROM customer) UNION ALL (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey + 10 FROM orders)")
 def symmetric_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.symmetric_difference(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")))
+    return merge.symmetric_difference(table(spark, sf_dir, "orders").select((F.col("o_custkey") + 10).alias("k")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")))
 
 
 @query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN NULL ELSE page_id % 7 END AS value, page_id % 3 <> 0 AS found FROM pages")
@@ -675,3 +666,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
+
+
+from . import file_queries  # noqa: E402, F401  registers its queries here

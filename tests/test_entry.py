@@ -60,7 +60,7 @@ def test_every_image_against_the_whole_memory(spark, tmp_path):
     unit = {i: (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(np.float32(v).astype(float).reshape(8, 8)) for i, v, _ in rows}
     memory = np.concatenate([unit[i] for i, _, label in rows if label == 0])
     want = {(i, k): 1 - (memory @ t).max() for i in unit for k, t in enumerate(unit[i])}
-    got = {(r.vec_id, r.patch): r.score for r in core.QUERIES["nearest_memory_all"](spark, str(tmp_path)).collect()}
+    got = {(r.vec_id, r.patch): r.score for r in core.QUERIES["nearest_memory"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and len(got) == 560
     assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
