@@ -6,6 +6,7 @@ so that any library can be used where it is installed.
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..functions import grids as G
+from ..functions import images as I
 from ..functions import vectors as V
 from . import classify
 
@@ -65,10 +67,49 @@ def apply_crop(pixels: np.ndarray, mask: np.ndarray, crop: tuple[int, int, int,
     """The crop of an image array, outside the mask black or kept."""
     left, top, right, bottom = crop
     part = pixels[top:bottom, left:right]
-    if background == "keep":
-        return part
-    shape = part.shape[:2] + (1,) * (part.ndim - 2)
-    return np.where(mask[top:bottom, left:right].reshape(shape), part, 0)
+    return part if background == "keep" else I.masked(part, mask[top:bottom, left:right])
+
+
+def of_regions(model: Callable[[list[np.ndarray]], list[list[float]]], decode: Callable[[bytes], np.ndarray] = I.read_png, region: str = "whole", padding: float = 0.15, least: int = 32, background: str = "black") -> Extractor:
+    """An extractor that decodes ``content`` and gives ``model`` the whole images, or their crops by ``bbox`` or ``mask_content``.
+
+    A ``bbox`` is four numbers in a text; a blank or degenerate one means the whole image.
+    """
+    if region not in ("whole", "bbox", "mask"):
+        raise ValueError(f"no region {region}")
+
+    def box_of(text) -> tuple | None:
+        try:
+            box = tuple(float(p) for p in str(text or "").replace(";", ",").split(",") if p.strip())
+        except ValueError:
+            return None
+        return box if len(box) == 4 and box[2] > box[0] and box[3] > box[1] else None
+
+    def cut(row) -> np.ndarray:
+        pixels = decode(row["content"])
+        size = pixels.shape[1], pixels.shape[0]
+        if region == "whole":
+            return pixels
+        if region == "bbox":
+            left, top, right, bottom = I.crop_of(box_of(row["bbox"]), *size, padding, least)
+            return pixels[top:bottom, left:right]
+        mask = I.load_mask(row["mask_content"], size, row.get("mask_path") or "")
+        # the box goes through its text form of two decimals, which whole numbers survive
+        return apply_crop(pixels, mask, I.crop_of(I.mask_box(mask), *size, padding, least), background)
+
+    return lambda pdf: model([cut(row) for row in pdf.to_dict("records")])
+
+
+def require_modules(*names: str) -> None:
+    """Stops before any job if a plug-in's libraries are not installed."""
+    missing = [n for n in names if importlib.util.find_spec(n) is None]
+    if missing:
+        raise SystemExit(f"missing libraries for extraction: {', '.join(missing)}")
+
+
+def device_of(asked: str = "auto", has_cuda: Callable[[], bool] = lambda: False) -> str:
+    """The device that is asked for; ``auto`` is cuda where the plug-in's library has it."""
+    return asked if asked != "auto" else "cuda" if has_cuda() else "cpu"
 
 
 def heatmaps_from_tokens(tokens: DataFrame, keys: list[str], column: str = "tokens") -> DataFrame:
