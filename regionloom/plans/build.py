@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,6 +95,21 @@ def pseudo_masks(manifest: DataFrame, heatmaps: DataFrame, mask_dir: str, percen
     return out.select(*sinks.append_columns(manifest.columns, ["mask_path", "bbox", "mask_source", "bbox_source", "pseudo_mask_score", "pseudo_mask_area", "pseudo_mask_component", "pseudo_mask_heatmap_processing"]))
 
 
+#: Environment variables, the settings they give, and the stages that they switch (fixed values).
+SETTINGS = {
+    "SPLIT": ("split", str),
+    "PERCENTILE": ("percentile", float),
+    "MIN_AREA_RATIO": ("min_area_ratio", float),
+    "MASK_COMPONENT": ("mask_component", str),
+    "BBOX_COMPONENT": ("box_component", str),
+    "DUPLICATE_POLICY": ("duplicate_policy", str),
+    "EVAL_GRID": ("grid", str),
+    "Q_QUERIES": ("queries", int),
+    "EPISODES": ("episodes", int),
+}
+SWITCHES = {"VALIDATE_HEATMAPS": "validate", "RUN_PSEUDO_BBOX": "boxes", "RUN_PSEUDO_MASK": "masks", "RUN_CLASSIFICATION": "evaluate"}
+
+
 @dataclass
 class HeatmapPipeline:
     """Merge, validate, dedupe, boxes, masks and evaluation, each stage on or off."""
@@ -110,10 +126,19 @@ class HeatmapPipeline:
     duplicate_policy: str = "max"
     grid: str = "5:1,5:3,5:5"
     episodes: int = 100
+    queries: int = 5
     stages: tuple[str, ...] = ("merge", "validate", "dedupe", "boxes", "masks", "evaluate")
     features: str | None = None
     results: dict = field(default_factory=dict)
 
+    @classmethod
+    def from_env(cls, spark: SparkSession, manifest: str, out: str, heatmaps: list[str], features: str | None = None, env: Mapping[str, str] = os.environ) -> HeatmapPipeline:
+        """The pipeline as environment variables ask for it; unset and empty ones leave the defaults."""
+        given = {name: made(env[key]) for key, (name, made) in SETTINGS.items() if env.get(key)}
+        off = {stage for key, stage in SWITCHES.items() if (env.get(key) or "1") != "1"}
+        stages = tuple(s for s in cls.stages if s not in off)
+        return cls(spark, manifest, out, heatmaps, stages=stages, features=features, **given)
+
     def run(self) -> dict:
         from . import evaluation, reports
 
@@ -136,7 +161,7 @@ class HeatmapPipeline:
         if "evaluate" in self.stages and self.features:
             records = readers.normalize_records(rows)
             found = evaluation.records_with_features(records, readers.load_features(spark, self.features))
-            grid = [x.asDict() for x in evaluation.few_shot_grid(records, found, self.grid, 5, self.episodes).orderBy("setting_idx").collect()]
+            grid = [x.asDict() for x in evaluation.few_shot_grid(records, found, self.grid, self.queries, self.episodes).orderBy("setting_idx").collect()]
             r["grid"] = grid
             sinks.write_text(reports.grid_markdown("Few-shot results", {"manifest": self.manifest, "split": self.split}, grid), path("results.md"))
         return r
