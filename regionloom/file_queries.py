@@ -86,8 +86,8 @@ def feature_cache_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(rows: DataFrame, path: str) -> str:
-    """A single named .jsonl file."""
-    sinks.write_text("\n".join(r[0] for r in rows.select(F.to_json(F.struct("*")).alias("j")).collect()) + "\n", f"{path}.jsonl")
+    """``rows`` as JSON lines in the order that they have: a .jsonl folder, whose parts the tasks write; packed, as numbers in text take several times their room."""
+    sinks.write_jsonl(rows, f"{path}.jsonl", compression="gzip")
     return f"{path}.jsonl"
 
 

@@ -90,11 +90,11 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, order:
             out.writerow(r)
 
 
-def write_jsonl(df: DataFrame, path: str, order: list | None = None, overwrite: bool = False) -> None:
-    """JSON lines as a folder of part files that read back in order."""
+def write_jsonl(df: DataFrame, path: str, order: list | None = None, overwrite: bool = False, compression: str | None = None) -> None:
+    """JSON lines as a folder of part files that read back in order; ``compression`` is that of Spark's JSON writer."""
     if order:
         df = df.orderBy(*order)
-    df.write.mode("overwrite" if overwrite else "errorifexists").json(path)
+    df.write.mode("overwrite" if overwrite else "errorifexists").json(path, compression=compression)
 
 
 def write_manifest(df: DataFrame, path: str, added: list[str] = (), overwrite: bool = False) -> None:

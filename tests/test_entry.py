@@ -3,6 +3,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from regionloom import queries as core
@@ -75,3 +76,28 @@ def test_fused_grid_runs_every_setting_and_episode(spark, monkeypatch):
     assert sorted((r.whole_weight, r.n_way, r.k_shot, r.episodes) for r in rows) == sorted((w, *s, 200) for w in (0.25, 0.5, 0.75) for s in settings)
     assert all(0 <= r.accuracy_mean <= 1 and r.accuracy_stdev >= 0 for r in rows)
     assert drawn[0].select("setting_idx", "episode_idx").distinct().count() == 1000
+
+
+def test_caches_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    """No row of a JSON lines cache or manifest comes to the driver, and its parts are read back in order, whatever that of the table."""
+    rng = np.random.default_rng(9)
+    vectors = {i: np.float32(rng.normal(size=64)).astype(float) for i in range(500)}
+    rows = [(int(i), vectors[i].tolist(), 0) for i in rng.permutation(500)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(7).write.parquet(str(tmp_path / "embeddings.parquet"))
+    parts = spark.range(400).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand"), F.col("id").cast("int").alias("p_size"))
+    parts.repartition(5).write.parquet(str(tmp_path / "part.parquet"))
+    frame = type(parts)
+
+    def refused(*a, **k):
+        raise AssertionError("rows came to the driver")
+
+    with monkeypatch.context() as m:
+        for name in ("collect", "toLocalIterator", "toPandas", "toArrow"):
+            m.setattr(frame, name, refused)
+        cache = core.QUERIES["feature_cache_jsonl"](spark, str(tmp_path))
+        manifest = core.QUERIES["manifest_jsonl_split"](spark, str(tmp_path))
+    last = {f"f{k}": vectors[max(i for i in vectors if i % 70 == k)] for k in range(70)}
+    got = {r.key: (r.n, r.place_sum) for r in cache.collect()}
+    assert got.keys() == last.keys()
+    assert all(got[k][0] == 64 and abs(got[k][1] - v @ np.arange(1, 65)) < 1e-5 for k, v in last.items())
+    assert sorted((r.row_idx, r.image_path) for r in manifest.collect()) == [(k, f'i/{k}, "x".png') for k in range(400) if k % 3 != 1]
